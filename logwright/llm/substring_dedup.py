@@ -16,6 +16,7 @@ only behind a check of their size; beyond it joins are shuffled.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -141,8 +142,9 @@ def _candidates(texts: DataFrame, length: int, counted: bool) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame, min_words: int = 50, broadcast_limit: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, t, starts): for each text the starts of the windows that also
-    start in a document with a smaller doc_id; null starts where all do."""
+    """(id, t, begins, ends): for each text the stretches of words that are
+    covered by windows which also start in a document with a smaller doc_id;
+    null for a text that is a whole copy."""
     keyed = docs.select(*_keys(id_col, text_col))
     packed = durable(_halves(keyed, min_words))
     firsts = packed.groupBy("seq").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
@@ -150,15 +152,19 @@ def repeated_windows(docs: DataFrame, min_words: int = 50, broadcast_limit: int
     own = packed.join(checked_broadcast(copies, 16, broadcast_limit), ["id", "t"], "left_anti")
     halves = _unpacked(own)
     shared = durable(halves.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h"))
-    places = halves.join(checked_broadcast(shared, 12, broadcast_limit), "h", "left_semi").groupBy("id", "t").agg(F.collect_set("place").alias("places"))
-    places = durable(places)
-    size = (places.agg(F.sum(F.size("places") * 4 + 24)).first()[0] or 0) if places.count() else 0
+    places = durable(halves.join(shared, "h", "left_semi").groupBy("id", "t").agg(F.collect_set("place").alias("places")))
+    size = places.agg(F.sum(F.size("places") * 4 + 24)).first()[0] or 0
     texts = keyed.join(F.broadcast(places) if size <= broadcast_limit else places, ["id", "t"]).select("id", "t", "text", "places")
+    # one plan has both readings of the texts, so that a shuffle of them is used twice
     twice = _candidates(texts, min_words, True).groupBy("g").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("g", "lo")
-    twice = durable(twice)
-    hits = _candidates(texts, min_words, False).join(checked_broadcast(twice, 24, broadcast_limit), "g").where("id > lo")
-    starts = hits.groupBy("id", "t").agg(F.collect_set("start").alias("starts"))
-    return starts.unionByName(copies.withColumn("starts", F.lit(None).cast("array<int>"))).withColumn("hit", F.lit(True))
+    hits = _candidates(texts, min_words, False).join(twice, "g").where("id > lo")
+    starts = hits.groupBy("id", "t").agg(F.sort_array(F.collect_set("start")).alias("s"))
+    far = lambda x, y: x > y + min_words
+    begins = F.filter("s", lambda x, i: (i == 0) | far(x, F.get("s", i - 1)))
+    ends = F.filter("s", lambda x, i: (i == F.size("s") - 1) | far(F.get("s", i + 1), x))
+    stretches = starts.select("id", "t", begins.alias("begins"), F.transform(ends, lambda x: x + min_words).alias("ends"))
+    none = F.lit(None).cast("array<int>")
+    return stretches.unionByName(copies.withColumns({"begins": none, "ends": none})).withColumn("hit", F.lit(True))
 
 
 def dedup_substrings(docs: DataFrame, min_words: int = 50, broadcast_limit: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -172,24 +178,21 @@ def dedup_substrings(docs: DataFrame, min_words: int = 50, broadcast_limit: int
     share a doc_id never remove from each other; a null doc_id is smallest.
     An empty table gives no rows."""
     found = durable(repeated_windows(docs, min_words, broadcast_limit, id_col, text_col))
-    size = found.agg(F.sum(F.coalesce(F.size("starts"), F.lit(0)) * 4 + 24)).first()[0] or 0
+    size = found.agg(F.sum(F.coalesce(F.size("begins"), F.lit(0)) * 8 + 24)).first()[0] or 0
     rest = [c for c in docs.columns if c not in (text_col, "kept_text", "n_words", "n_removed")]
     source = docs.select(F.struct(*rest).alias("doc"), *_keys(id_col, text_col))
-    both = source.join(F.broadcast(found) if size <= broadcast_limit else found, ["id", "t"], "left").select("doc", "text", "starts", "hit")
+    both = source.join(F.broadcast(found) if size <= broadcast_limit else found, ["id", "t"], "left").select("doc", "text", "begins", "ends", "hit")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 16 << 20):
             kept, total, removed = [], [], []
-            for text, starts, hit in zip(*(batch.column(c).to_pylist() for c in ("text", "starts", "hit"))):
+            for text, begins, ends, hit in zip(*(batch.column(c).to_pylist() for c in ("text", "begins", "ends", "hit"))):
                 words = text.split() if text else []
                 total.append(len(words))
-                if hit and starts is None:
+                if hit and begins is None:
                     words = []
                 elif hit:
-                    edge = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(edge, starts, 1)
-                    np.add.at(edge, np.array(starts) + min_words, -1)
-                    words = [w for w, gone in zip(words, (np.cumsum(edge)[:-1] > 0).tolist()) if not gone]
+                    words = list(chain.from_iterable(words[a:b] for a, b in zip([0, *ends], [*begins, len(words)])))
                 kept.append(b" ".join(words))
                 removed.append(total[-1] - len(words))
             yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(kept, pa.binary()), pa.array(total, pa.int64()), pa.array(removed, pa.int64())], names=["doc", "kept", "n_words", "n_removed"])
