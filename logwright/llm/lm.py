@@ -23,6 +23,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import chain
 from math import log10
 
 import numpy as np
@@ -64,26 +65,45 @@ def token_counts(docs: DataFrame, is_held_out: Callable, id_col: str, text_col:
     return docs.select(F.col(id_col).alias("id"), raw(text_col).alias("text")).mapInArrow(run, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
 
 
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The tokens whose count is at least the least for which no more than
+    ``most`` tokens have it, found from a histogram of counts: exact below
+    4096, in narrow bins above."""
+    step = F.when(F.col("c") < 4096, F.col("c")).otherwise(4096 + F.floor(F.log2(F.col("c") / 4096) * 256)).cast("int")
+    found, total, least = sorted(counts.groupBy(step.alias("bin")).count().collect(), reverse=True), 0, None
+    for bin_, n in found:
+        if total + n > most:
+            break
+        total, least = total + n, bin_
+    return counts.where(F.lit(False) if least is None else step >= least)
+
+
+def tokens(text: bytes | None) -> list[bytes]:
+    words = (text or b"").lower().split()
+    words.append(END)
+    return words
+
+
 class Words(dict):
     """Codes of words: the rank of one of the broadcast tokens, or minus the
-    hash, less one, of any other."""
+    hash, less one, of any other. Up to ``most`` are kept for later."""
 
-    def __init__(self, hashes: np.ndarray, most: int = 400_000) -> None:
+    def __init__(self, hashes: np.ndarray, most: int = 300_000) -> None:
         self.order = np.argsort(hashes)
         self.sorted, self.most = hashes[self.order], most
 
-    def __missing__(self, word: bytes) -> int:
-        h = word_hash(word)
-        at = int(np.searchsorted(self.sorted, h))
-        code = int(self.order[at]) if at < len(self.sorted) and self.sorted[at] == h else -h - 1
-        if len(self) >= self.most:
+    def codes(self, words: list[bytes]) -> np.ndarray:
+        new = list(set(words).difference(self))
+        if len(self) + len(new) > self.most:
             self.clear()
-        self[word] = code
-        return code
-
-    def codes(self, text: bytes | None) -> np.ndarray:
-        words = (text or b"").lower().split()
-        words.append(END)
+            new = list(set(words))
+        if new:
+            h = np.array([word_hash(w) for w in new], np.int64)
+            out = -h - 1
+            if len(self.sorted):
+                at = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
+                out = np.where(self.sorted[at] == h, self.order[at], out)
+            self.update(zip(new, out.tolist()))
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
@@ -244,16 +264,19 @@ def train(docs: DataFrame, words: DataFrame, is_held_out: Callable, net: Network
                 trainer.learn(*(np.stack(x) for x in zip(*(s for s in stack if len(s[0]) == size))))
 
         for batch in slices(batches, "text", 8 << 20):
-            streams = [table.codes(t) for d, t in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()) if not is_held_out(d)]
+            streams = [tokens(t) for d, t in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()) if not is_held_out(d)]
             if not streams:
                 continue
-            codes = np.concatenate(streams)
-            begins = np.zeros(len(codes), bool)
+            stream = list(chain.from_iterable(streams))
+            begins = np.zeros(len(stream), bool)
             begins[np.cumsum([0, *map(len, streams[:-1])])] = True
+            first = phase % one_in * segment if len(stream) > one_in * segment else 0
+            places = [(a, min(a + segment, len(stream))) for a in range(first, len(stream), one_in * segment)]
+            codes, at = table.codes(list(chain.from_iterable(stream[a:b] for a, b in places))), 0
             ids = inputs(codes)
-            for a in range(phase % one_in * segment if len(codes) > one_in * segment else 0, len(codes), one_in * segment):
-                b = min(a + segment, len(codes))
-                waiting.append((ids[a:b], codes[a:b], begins[a:b]))
+            for a, b in places:
+                waiting.append((ids[at : at + b - a], codes[at : at + b - a], begins[a:b]))
+                at += b - a
                 seen += b - a
                 if len(waiting) == lanes:
                     learn(waiting)
@@ -339,7 +362,7 @@ def score(docs: DataFrame, is_held_out: Callable = held_out, rounds: int = 3, on
     spark = docs.sparkSession
     counts = durable(token_counts(docs, is_held_out, id_col, text_col))
     distinct, total = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("c"), F.lit(0))).first()
-    top = counts.orderBy(F.desc("c"), "h").limit(KNOWN).toPandas()
+    top = most_frequent(counts, KNOWN).toPandas().sort_values(["c", "h"], ascending=[False, True])
     hashes, known = top["h"].to_numpy(np.int64), top["c"].to_numpy(np.float64)
     head = known[:HEAD]
     left, kinds_left = total - head.sum(), distinct - len(head)
@@ -356,7 +379,9 @@ def score(docs: DataFrame, is_held_out: Callable = held_out, rounds: int = 3, on
         table, net = Words(words.value), Network.unpack(model.value)
         for batch in slices(batches, "text", 12 << 20):
             ids = batch.column("id").to_pylist()
-            codes = [table.codes(t) for t in batch.column("text").to_pylist()]
+            streams = [tokens(t) for t in batch.column("text").to_pylist()]
+            codes = np.split(table.codes(list(chain.from_iterable(streams))), np.cumsum([len(x) for x in streams])[:-1])
+            del streams
             scores = score_texts(net, codes) / np.log(10) if total else np.zeros(len(codes))
             rows = []
             for doc, code, s in zip(ids, codes, scores.tolist()):
