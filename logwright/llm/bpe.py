@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -157,7 +158,7 @@ class Vocabulary(dict):
     """Ids of pre-tokens, merged when first asked for and kept, up to
     ``most`` of them."""
 
-    def __init__(self, ranks: dict[bytes, int], most: int = 600_000) -> None:
+    def __init__(self, ranks: dict[bytes, int], most: int = 200_000) -> None:
         self.ranks, self.most = ranks, most
 
     def __missing__(self, piece: bytes) -> tuple[int, ...]:
@@ -229,26 +230,25 @@ def encode_texts(texts: list[bytes | None], words: Vocabulary, table: np.ndarray
     return list(chain.from_iterable(found)), at[ends_of] - at[ends_of - counts]
 
 
-#: What a worker has built for a vocabulary, for as long as it lives.
-_READY: dict[int, tuple[Vocabulary, np.ndarray, np.ndarray, bytes]] = {}
+def _pool(ranks: dict[bytes, int]) -> tuple[np.ndarray, bytes]:
+    """Widths and bytes of all tokens, by id."""
+    pieces = [b""] * (max(ranks.values()) + 1)
+    for piece, i in ranks.items():
+        pieces[i] = piece
+    return np.array([len(p) for p in pieces], np.int64), b"".join(pieces)
 
 
-def _ready(broadcast) -> tuple[Vocabulary, np.ndarray, np.ndarray, bytes]:  # noqa: ANN001
-    key = broadcast._jbroadcast_id if hasattr(broadcast, "_jbroadcast_id") else id(broadcast)
+#: The vocabulary that a worker last used, with what it has merged.
+_READY: dict[int, Vocabulary] = {}
+
+
+def _vocabulary(key: int, ranks: dict[bytes, int]) -> Vocabulary:
     if key not in _READY:
         _READY.clear()
-        ranks, table = broadcast.value
-        pieces = [b""] * (max(ranks.values()) + 1)
-        for piece, i in ranks.items():
-            pieces[i] = piece
-        _READY[key] = Vocabulary(ranks), np.frombuffer(table, np.uint8), np.array([len(p) for p in pieces], np.int64), b"".join(pieces)
+        _READY[key] = Vocabulary(ranks)
     return _READY[key]
 
 
-def _shared(docs: DataFrame, ranks_path: str):  # noqa: ANN202
-    return docs.sparkSession.sparkContext.broadcast((read_ranks(ranks_path), code_point_classes().tobytes()))
-
-
 def encode(docs: DataFrame, ranks_path: str, text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` but the text, then ids and offsets (arrays of
     int): the token ids, and for each the byte of the text's UTF-8 at which it
@@ -257,13 +257,15 @@ def encode(docs: DataFrame, ranks_path: str, text_col: str = "text") -> DataFram
     ``ranks_path`` is read by the driver. There are no special tokens. A null
     or empty text has no tokens. The vocabulary, of a fixed size, is
     broadcast; texts are taken whole, a batch of bounded bytes at a time."""
-    held = _shared(docs, ranks_path)
+    ranks = read_ranks(ranks_path)
+    key, held = zlib.crc32(repr(sorted(ranks.items())).encode()), docs.sparkSession.sparkContext.broadcast((ranks, code_point_classes().tobytes(), _pool(ranks)[0]))
     rest = [c for c in docs.columns if c not in (text_col, "ids", "offsets")]
     source = docs.select(F.struct(*rest).alias("doc"), raw(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, table, widths, _ = _ready(held)
-        for batch in slices(batches, "text", 4 << 20):
+        ranks, table, widths = held.value
+        words, table = _vocabulary(key, ranks), np.frombuffer(table, np.uint8)
+        for batch in slices(batches, "text", 2 << 20):
             ids, counts = encode_texts(batch.column("text").to_pylist(), words, table)
             ids = np.array(ids, np.int32)
             ends = np.concatenate([[0], np.cumsum(counts)])
@@ -281,12 +283,12 @@ def decode(tokens: DataFrame, ranks_path: str) -> DataFrame:
     """``tokens`` (columns ids and offsets among others) with decoded, the
     bytes the ids stand for, each laid down at its offset. Null ids decode to
     no bytes."""
-    held = _shared(tokens, ranks_path)
+    held = tokens.sparkSession.sparkContext.broadcast(_pool(read_ranks(ranks_path)))
     rest = [c for c in tokens.columns if c not in ("ids", "offsets", "decoded")]
     source = tokens.select(F.struct(*rest).alias("doc"), "ids", "offsets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, _, widths, pool = _ready(held)
+        widths, pool = held.value
         bytes_of, first = np.frombuffer(pool, np.uint8), np.cumsum(widths) - widths
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
