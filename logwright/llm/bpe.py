@@ -158,7 +158,7 @@ class Vocabulary(dict):
     """Ids of pre-tokens, merged when first asked for and kept, up to
     ``most`` of them."""
 
-    def __init__(self, ranks: dict[bytes, int], most: int = 200_000) -> None:
+    def __init__(self, ranks: dict[bytes, int], most: int = 400_000) -> None:
         self.ranks, self.most = ranks, most
 
     def __missing__(self, piece: bytes) -> tuple[int, ...]:
@@ -265,7 +265,7 @@ def encode(docs: DataFrame, ranks_path: str, text_col: str = "text") -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, table, widths = held.value
         words, table = _vocabulary(key, ranks), np.frombuffer(table, np.uint8)
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 3 << 20):
             ids, counts = encode_texts(batch.column("text").to_pylist(), words, table)
             ids = np.array(ids, np.int32)
             ends = np.concatenate([[0], np.cumsum(counts)])
