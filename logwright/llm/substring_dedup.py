@@ -157,7 +157,8 @@ def repeated_windows(docs: DataFrame, min_words: int = 50, broadcast_limit: int
     texts = keyed.join(F.broadcast(places) if size <= broadcast_limit else places, ["id", "t"]).select("id", "t", "text", "places")
     # one plan has both readings of the texts, so that a shuffle of them is used twice
     twice = _candidates(texts, min_words, True).groupBy("g").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("g", "lo")
-    hits = _candidates(texts, min_words, False).join(twice, "g").where("id > lo")
+    # dealt anew, so that the join's two sides are shuffles that can be split where a passage is frequent
+    hits = _candidates(texts, min_words, False).join(twice.repartition("g", "lo"), "g").where("id > lo")
     starts = hits.groupBy("id", "t").agg(F.sort_array(F.collect_set("start")).alias("s"))
     far = lambda x, y: x > y + min_words
     begins = F.filter("s", lambda x, i: (i == 0) | far(x, F.get("s", i - 1)))
