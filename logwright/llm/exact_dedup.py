@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logwright.llm.common import durable
+from logwright.llm.common import checked_broadcast, durable
 
 
 def normalised(text: str | Column, strip: bool = False, lower: bool = False) -> Column:
@@ -54,5 +54,5 @@ def exact_duplicates(docs: DataFrame, support: float = 0.0005, strip: bool = Fal
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The documents that stay, all columns; their doc_ids are distinct keys."""
-    gone = exact_duplicates(docs, id_col=id_col, text_col=text_col, **how).where("not kept").select(id_col)
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    gone = durable(exact_duplicates(docs, id_col=id_col, text_col=text_col, **how).where("not kept").select(id_col))
+    return docs.join(checked_broadcast(gone, 24), id_col, "left_anti").select(*docs.columns)

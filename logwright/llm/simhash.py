@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logwright.llm.common import components, durable, raw, slices
+from logwright.llm.common import checked_broadcast, components, durable, raw, slices
 
 BITS = 64
 
@@ -137,6 +137,8 @@ def near_links(fps: DataFrame, radius: int = 4, bucket_limit: int = 8192, every_
         raise ValueError("radius must be even")
     signed = lambda x: x - (1 << BITS) if x >> (BITS - 1) else x
     keys = F.array(*[F.col("fp").bitwiseAND(F.lit(signed(m))) for m in covering_masks(radius)])
+    # few small rows make many: spread them before they grow
+    fps = fps.repartition(2 * int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     keyed = fps.select("fp", F.posexplode(keys).alias("v", "bits")).select("fp", F.xxhash64("v", "bits").alias("key"))
     sizes = durable(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("n > 1"))
     near = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= radius
@@ -179,8 +181,8 @@ def _midpoint_links(members: DataFrame, radius: int) -> DataFrame:
 
 def similar(links: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
     """Of ``links`` (a, b), those whose texts have a Jaccard similarity of
-    distinct word shingles of at least ``least``. ``texts``: (fp, text), one
-    row for each end of a link. Only the texts of linked classes move."""
+    distinct word shingles of at least ``least``. ``texts``: (fp, text), a row
+    for each end of a link; of several any will do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 8 << 20):
@@ -196,8 +198,7 @@ def similar(links: DataFrame, texts: DataFrame, shingle: int, least: float) -> D
                 keep.append(both >= least * (len(p) + len(q) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    ends = links.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    sets = durable(texts.join(ends, "fp").select("fp", raw("text").alias("text")).mapInArrow(run, "fp bigint, set binary"))
+    sets = durable(texts.select("fp", raw("text").alias("text")).mapInArrow(run, "fp bigint, set binary"))
     pairs = links.join(sets.select(F.col("fp").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("set").alias("y")), "b")
     return pairs.select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint")
 
@@ -225,8 +226,8 @@ def near_duplicates(
     links = near_links(classes.select("fp"), radius, bucket_limit, 64 if min_similarity else 0)
     if min_similarity:
         links = durable(links)
-        ends = classes.join(links.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "fp").select("fp", F.col("rep").alias(id_col))
-        texts = docs.select(id_col, F.col(text_col).alias("text")).join(ends, id_col).dropDuplicates(["fp"])
+        ends = durable(classes.join(links.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "fp").select("fp", F.col("rep").alias(id_col)))
+        texts = docs.select(id_col, F.col(text_col).alias("text")).join(checked_broadcast(ends, 24), id_col)
         links = similar(links, texts.select("fp", "text"), shingle, min_similarity)
     joined = components(links)
     member = classes.join(joined.withColumnRenamed("node", "fp"), "fp")
@@ -241,8 +242,8 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 6, min
     """The document with the smallest doc_id of each component, all columns;
     of rows that repeat a doc_id all stay."""
     groups = near_duplicates(docs, shingle, radius, min_similarity=min_similarity, id_col=id_col, text_col=text_col)
-    gone = groups.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    gone = durable(groups.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct())
+    return docs.join(checked_broadcast(gone, 24), id_col, "left_anti").select(*docs.columns)
 
 
 def hex16(column: str | Column) -> Column:
