@@ -150,7 +150,7 @@ def near_links(fps: DataFrame, radius: int = 4, bucket_limit: int = 8192, every_
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
 
-    listed = keyed.join(sizes.where(F.col("n").between(3, bucket_limit)).select("key"), "key")
+    listed = keyed.join(checked_broadcast(sizes.where(F.col("n").between(3, bucket_limit)).select("key"), 16), "key")
     lists = listed.groupBy("key").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
     links = links.unionAll(lists.select("fps").mapInArrow(tree, "a bigint, b bigint"))
     hot = sizes.where(F.col("n") > bucket_limit).select("key")
