@@ -128,7 +128,7 @@ def line_counts(docs: DataFrame, least_chars: int, least_docs: int, id_col: str,
     points in at least ``least_docs`` rows; winner: the largest doc_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 12 << 20):
+        for batch in slices(batches, "text", 8 << 20):
             seen: dict[bytes, list[int]] = {}
             for doc, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
                 for key in {line_key(x) for x in text.split(b"\n")} if text else ():
@@ -231,7 +231,7 @@ def _probe_here(docs: DataFrame, index: DataFrame, shards: int, least_chars: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = {r["shard"]: _load(r) for r in held.value}
-        for batch in slices(batches, "__text", 12 << 20):
+        for batch in slices(batches, "__text", 8 << 20):
             texts = batch.column("__text").to_pylist()
             split = [_lines(t, least_chars) for t in texts]
             sizes = np.array([len(x[1]) for x in split])
@@ -259,7 +259,7 @@ def _probe_there(docs: DataFrame, index: DataFrame, shards: int, least_chars: in
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each batch and shard: the distinct lines, and who has them."""
-        for batch in slices(batches, "text", 12 << 20):
+        for batch in slices(batches, "text", 8 << 20):
             who: dict[tuple[int, int], set[int]] = {}
             for doc, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
                 for h in _lines(text, least_chars)[2] if text else ():
@@ -300,7 +300,7 @@ def _probe_there(docs: DataFrame, index: DataFrame, shards: int, least_chars: in
     both = source.join(gone, "__id", "left").select(*names, "__gone.h1", "__gone.h2")
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "__text", 12 << 20):
+        for batch in slices(batches, "__text", 8 << 20):
             kept, n_lines, n_dropped = [], [], []
             for text, h1, h2 in zip(*(batch.column(c).to_pylist() for c in ("__text", "h1", "h2"))):
                 lines, places, hashes = _lines(text, least_chars)
