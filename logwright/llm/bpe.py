@@ -158,7 +158,7 @@ class Vocabulary(dict):
     """Ids of pre-tokens, merged when first asked for and kept, up to
     ``most`` of them."""
 
-    def __init__(self, ranks: dict[bytes, int], most: int = 400_000) -> None:
+    def __init__(self, ranks: dict[bytes, int], most: int = 300_000) -> None:
         self.ranks, self.most = ranks, most
 
     def __missing__(self, piece: bytes) -> tuple[int, ...]:

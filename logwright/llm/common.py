@@ -3,7 +3,9 @@ components, prefix sums and byte-bounded Arrow batches."""
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,14 @@ def raw(column: str | Column) -> Column:
     return F.col(column).cast("binary") if isinstance(column, str) else column.cast("binary")
 
 
+def give_back() -> None:
+    """Return memory that this worker has freed to the system: workers stay
+    for later tasks, beside a JVM that may need it."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that ``column`` holds at most ``most_bytes`` in each,
     or a single row."""
@@ -42,6 +52,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 16
         cuts = np.flatnonzero(np.diff(group)) + 1
         for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(sizes)]):
             yield batch.slice(a, b - a)
+    give_back()
 
 
 def segment_sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
