@@ -95,10 +95,51 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, s
 FROM marked GROUP BY doc_id
 """
 
+_WINDOWS = r"""
+WITH split AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), word AS (
+  SELECT doc_id, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM split
+), start AS (
+  SELECT doc_id, i, md5(array_to_string(words[i:i + 49], ' ')) AS k
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM split)
+), again AS (
+  SELECT doc_id, i, min(doc_id) OVER (PARTITION BY k) < doc_id AS seen FROM start
+), covered AS (
+  SELECT doc_id, w, i, coalesce(bool_or(seen) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), false) AS gone
+  FROM word LEFT JOIN again USING (doc_id, i)
+), judged AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE gone) AS n_removed, string_agg(w, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS kept
+  FROM covered GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents LEFT JOIN judged USING (doc_id)
+"""
+
+#: Five hex digits of a digest are four of base32.
+_ARCHIVED = """
+WITH payload AS (
+  SELECT page_id, coalesce(html, '') AS body FROM pages
+), digested AS (
+  SELECT page_id, body, sha1(body) AS hex FROM payload
+), based AS (
+  SELECT page_id, body, list_aggregate(list_transform(range(32), lambda n:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(hex, 1 + (n // 4) * 5, 5))::INTEGER >> (15 - 5 * (n % 4))) & 31)::INTEGER, 1)
+  ), 'string_agg', '') AS digest FROM digested
+), first AS (
+  SELECT *, min(page_id) OVER (PARTITION BY body) AS response FROM based
+)
+SELECT page_id, strlen(body) AS payload_bytes, digest AS payload_digest,
+  CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type, nullif(response, page_id) AS refers_to
+FROM first
+"""
+
 ORACLES: dict[str, str] = {
     "op4_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """,
     "op5_line_dedup": _LINES,
+    "op9_substring_dedup": _WINDOWS,
+    "op10_warc": _ARCHIVED,
 }

@@ -9,6 +9,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
@@ -454,6 +455,29 @@ def test_awkward_results(awkward):
     assert cut[7][1] == 0 and cut[8] == (60_001, 60_000) and cut[9] == (60_000, 60_000)
 
 
+@pytest.mark.parametrize("name", queries.ORACLES)
+def test_queries_agree_with_their_sql(name, spark, sf):
+    db = duckdb.connect()
+    for t in ("documents", "pages"):
+        db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    got, want = queries.QUERIES[name](spark, sf), db.sql(queries.ORACLES[name])
+    assert sorted(got.columns) == sorted(want.columns)
+    columns = sorted(got.columns)
+    assert sorted(map(tuple, got.select(columns).collect()), key=str) == sorted(want.select(*columns).fetchall(), key=str)
+
+
+def test_sql_of_pages_with_equal_payloads(spark, tmp_path):
+    rows = [(5, "u", "same"), (2, "u", "same"), (3, "u", None), (9, "u", ""), (4, "u", "\u00e9<p>"), (7, "u", "same")]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    got, want = queries.QUERIES["op10_warc"](spark, str(tmp_path)), db.sql(queries.ORACLES["op10_warc"])
+    columns = sorted(got.columns)
+    found = sorted(map(tuple, got.select(columns).collect()), key=str)
+    assert found == sorted(want.select(*columns).fetchall(), key=str)
+    assert {(r["page_id"], r["refers_to"]) for r in got.collect()} == {(2, None), (5, 2), (7, 2), (3, None), (9, 3), (4, None)}
+
+
 def test_pipeline(spark, sf, pairs):
     import corpus_pipeline
 
