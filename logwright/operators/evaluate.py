@@ -61,6 +61,7 @@ def side_by_side(scored: DataFrame, arm_a: str, arm_b: str) -> DataFrame:
 
 def across_runs(spark, pattern: str) -> DataFrame:  # noqa: ANN001
     """Hits by run and arm, a column for each attribute, over archived results
-    (JSON lines of scored rows); unreadable lines are skipped."""
-    rows = spark.read.option("mode", "DROPMALFORMED").json(pattern).withColumn("run", F.input_file_name())
+    (JSON lines of scored rows, a folder for each run); unreadable lines are
+    skipped."""
+    rows = spark.read.option("mode", "DROPMALFORMED").json(pattern).withColumn("run", F.element_at(F.split(F.input_file_name(), "/"), -2))
     return rows.groupBy("run", "arm").pivot("attribute").agg(F.count_if(F.col("exact") | F.col("within_tol")))

@@ -267,8 +267,9 @@ def _swap_end(table: str, columns: dict[str, str]) -> Callable[[dict, dict], Act
 
 def _one_row(table: str, several_types: bool) -> Callable[[dict, dict], Action]:
     def act(row: dict, said: dict) -> Action:
-        if several_types and "," in (row.get("ocel_types") or ""):
-            return Action("noop", table, {"ocel_id": row["ocel_id"]}, "ocel_type", reason="several types")
+        types = row.get("ocel_types") or ""
+        if several_types and ("," in types or not types):
+            return Action("noop", table, {"ocel_id": row["ocel_id"]}, "ocel_type", reason="several types" if types else "no type")
         return Action("delete", table, {k: v for k, v in row.items() if k.startswith("ocel_") and k != "ocel_types"})
 
     return act

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from logwright.functions import values
 from logwright.log import Log, TypeTable
-from logwright.operators import detectors, evaluate, inject, profile, repair, sampling
+from logwright.operators import batch, detectors, evaluate, inject, profile, repair, sampling
 from logwright.sources import files, sqlite
 from logwright.streaming import relations
 
@@ -222,6 +222,36 @@ def test_apply(log):
     assert retyped.object.where("ocel_id = 'or-1'").first()["ocel_type"] == "items"
 
 
+def test_bulk_repairs_agree_with_single_ones(log):
+    damaged, _ = inject.corrupt(log, "easy")
+    said = {"value": "items", "confidence": 0.9}
+    for issue, part in (("missing_object_type", "object"), ("duplicate_objects_on_ids", "object"), ("duplicate_o2o_relations", "o2o"), ("o2o_self_loop", "o2o")):
+        found = detectors.DETECTORS[issue](damaged)
+        rows = found.collect()
+        assert rows
+        one = damaged
+        for row in rows:
+            one = repair.apply(one, repair.act_on(issue, row.asDict(), said))
+        all_ = batch.apply_actions(damaged, batch.plan_actions(damaged, issue, found.withColumn("value", F.lit("items"))))
+        a, b = (sorted(map(str, getattr(x, part).collect())) for x in (one, all_))
+        assert a == b
+
+
+def test_bulk_repairs_of_awkward_rows(spark, log):
+    loops = spark.createDataFrame([(None, "x", None), (None, "x", None)], "ocel_event_id string, ocel_object_id string, ocel_qualifier string")
+    nulls = log.with_(e2o=log.e2o.limit(0).unionByName(loops.withColumn("row_id", F.monotonically_increasing_id())))
+    done = batch.apply_actions(nulls, batch.plan_actions(nulls, "duplicate_e2o_relations", detectors.duplicate_e2o_relations(nulls)))
+    assert done.e2o.count() == 1
+    judged = spark.createDataFrame([("or-1", "orders", None, None), ("or-2", "orders", "orders", 0.9), ("or-3", "orders", "items", 0.2), ("or-4", "orders", "items", None), ("or-4", "orders", "customers", 0.5)], "ocel_id string, ocel_type string, value string, confidence double")
+    actions = batch.plan_actions(log, "incorrect_object_type", judged)
+    assert [r["reason"] for r in actions.collect()] == ["no other type", "no other type", "confidence under 0.4", None, None]
+    types = {r["ocel_id"]: r["ocel_type"] for r in batch.apply_actions(log, actions).object.where("ocel_id like 'or-%'").collect()}
+    assert types["or-3"] == "orders" and types["or-4"] == "customers"
+    assert batch.plan_actions(log, "missing_object", detectors.missing_object(log)).count() == 0
+    with pytest.raises(repair.Refused):
+        batch.plan_actions(log, "unknown", judged)
+
+
 def test_all_tasks_are_there():
     assert len(repair.TASKS) == 25
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 import duckdb
 import pytest
 
-from logwright.plans import queries
+from logwright.plans import queries, repair_queries
+
+QUERIES, ORACLES = queries.QUERIES | repair_queries.QUERIES, queries.ORACLES | repair_queries.ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -21,11 +23,11 @@ def rows(frame):
     return sorted(tuple(map(flat, r)) for r in frame[sorted(frame.columns)].itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", queries.QUERIES)
+@pytest.mark.parametrize("name", QUERIES)
 def test_query(name, spark, sf, db):
-    got = queries.QUERIES[name](spark, sf).toPandas()
-    if name in queries.ORACLES:
-        assert rows(got) == rows(db.sql(queries.ORACLES[name]).df())
+    got = QUERIES[name](spark, sf).toPandas()
+    if name in ORACLES:
+        assert rows(got) == rows(db.sql(ORACLES[name]).df())
     else:
         assert len(got) == 1
 
