@@ -28,7 +28,8 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, that with the
-    smallest doc_id: five-word shingles, a Jaccard similarity of 0.8 or more."""
+    smallest doc_id: five-word shingles, a Jaccard similarity of 0.8 or more,
+    candidates from two independent fingerprints."""
     ship(spark)
     return simhash.drop_near_duplicates(docs)
 

@@ -58,29 +58,42 @@ def _shingle_hashes(text: bytes | None, shingle: int, seed: int, step: int = 1 <
         yield [digest(joined[a:b], seed) for a, b in zip(first[at : at + step].tolist(), last[at : at + step].tolist())]
 
 
-def fingerprint(text: bytes | None, shingle: int = 4, seed: int = 42) -> int:
+def _view(hashes: np.ndarray, view: int) -> np.ndarray:
+    """Hashes of the same shingles as another hash function would give them
+    (the finalizer of SplitMix64); view 0 leaves them as they are."""
+    if not view:
+        return hashes
+    x = hashes + np.uint64(view * 0x9E3779B97F4A7C15 & (1 << BITS) - 1)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def fingerprint(text: bytes | None, shingle: int = 4, seed: int = 42, view: int = 0) -> int:
     """The unsigned fingerprint of one text; without words it is zero."""
     ones, total = np.zeros(BITS, np.int64), 0
     for part in _shingle_hashes(text, shingle, seed):
-        hashes = np.array(part, np.uint64)
+        hashes = _view(np.array(part, np.uint64), view)
         ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         total += len(part)
     return int(np.packbits(2 * ones > total, bitorder="little").view(np.uint64)[0]) if total else 0
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", views: int = 1) -> DataFrame:
     """(doc_id, fp): the 64-bit fingerprint of each whole text as a signed
-    long. A null, empty or blank text has fingerprint zero; a text of fewer
-    words than ``shingle`` has one shingle, its whole word sequence."""
+    long, and fp1 and so on for further ``views``, independent fingerprints of
+    the same shingles. A null, empty or blank text has fingerprint zero; a text
+    of fewer words than ``shingle`` has one shingle, its whole word sequence."""
     id_type = docs.select(id_col).schema[0].dataType
+    names = ["fp", *[f"fp{v}" for v in range(1, views)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 4 << 20):
-            texts, out = batch.column("text").to_pylist(), np.zeros(batch.num_rows, np.uint64)
+            texts, out = batch.column("text").to_pylist(), np.zeros((views, batch.num_rows), np.uint64)
             hashes, where, lengths = [], [], []
             for i, text in enumerate(texts):
                 if text and len(text) > 4 << 20:
-                    out[i] = fingerprint(text, shingle, seed)
+                    out[:, i] = [fingerprint(text, shingle, seed, v) for v in range(views)]
                     continue
                 for part in _shingle_hashes(text, shingle, seed, 1 << 62):
                     hashes += part
@@ -88,11 +101,14 @@ def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, id_col: str
                     lengths.append(len(part))
                 if len(hashes) >= 1 << 18 or i + 1 == len(texts):
                     if where:
-                        out[where] = fold(np.array(hashes, np.uint64), np.array(lengths))
+                        of = np.array(hashes, np.uint64)
+                        for v in range(views):
+                            out[v, where] = fold(_view(of, v), np.array(lengths))
                     hashes, where, lengths = [], [], []
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out.view(np.int64))], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *[pa.array(x.view(np.int64)) for x in out]], names=["id", *names])
 
-    return docs.select(F.col(id_col).alias("id"), raw(text_col).alias("text")).mapInArrow(run, f"id {id_type.simpleString()}, fp bigint").withColumnRenamed("id", id_col)
+    schema = f"id {id_type.simpleString()}, " + ", ".join(f"{n} bigint" for n in names)
+    return docs.select(F.col(id_col).alias("id"), raw(text_col).alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def _tree_links(members: np.ndarray, radius: int, every_up_to: int = 0) -> list[tuple[int, int]]:
@@ -181,13 +197,14 @@ def _midpoint_links(members: DataFrame, radius: int) -> DataFrame:
 
 def similar(links: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
     """Of ``links`` (a, b), those whose texts have a Jaccard similarity of
-    distinct word shingles of at least ``least``. ``texts``: (fp, text), a row
-    for each end of a link; of several any will do."""
+    distinct word shingles of at least ``least``. ``texts``: (node, text), a
+    row for each end of a link; of several any will do."""
+    kind = texts.schema["node"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 4 << 20):
             sets = [np.unique(np.array([h for part in _shingle_hashes(t, shingle, 0) for h in part], np.uint64)).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array(sets, pa.binary())], names=["fp", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], names=["node", "set"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,38 +215,21 @@ def similar(links: DataFrame, texts: DataFrame, shingle: int, least: float) -> D
                 keep.append(both >= least * (len(p) + len(q) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    sets = durable(texts.select("fp", raw("text").alias("text")).mapInArrow(run, "fp bigint, set binary"))
-    pairs = links.join(sets.select(F.col("fp").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("set").alias("y")), "b")
-    return pairs.select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint")
+    sets = durable(texts.select("node", raw("text").alias("text")).mapInArrow(run, f"node {kind}, set binary"))
+    pairs = links.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+    return pairs.select("a", "b", "x", "y").mapInArrow(compare, f"a {kind}, b {kind}")
 
 
-def near_duplicates(
-    docs: DataFrame,
-    shingle: int = 4,
-    radius: int = 4,
-    seed: int = 42,
-    bucket_limit: int = 8192,
-    min_similarity: float | None = None,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, seed: int = 42, bucket_limit: int = 8192, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: (doc_id, fp, component_id), the latter the
     smallest doc_id that links of at most ``radius`` differing bits reach.
-    With ``min_similarity``, a link between different fingerprints counts only
-    if the texts of their smallest doc_ids also have that Jaccard similarity.
 
     Null and empty texts share fingerprint zero and so one component. Rows
     that repeat a doc_id each get a row. A null doc_id never names a component
     unless all of its component are null. An empty table gives no rows."""
     fps = durable(fingerprints(docs, shingle, seed, id_col, text_col))
     classes = durable(fps.groupBy("fp").agg(F.min(id_col).alias("rep"), F.count(F.lit(1)).alias("n")))
-    links = near_links(classes.select("fp"), radius, bucket_limit, 64 if min_similarity else 0)
-    if min_similarity:
-        links = durable(links)
-        ends = durable(classes.join(links.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "fp").select("fp", F.col("rep").alias(id_col)))
-        texts = docs.select(id_col, F.col(text_col).alias("text")).join(checked_broadcast(ends, 24), id_col)
-        links = similar(links, texts.select("fp", "text"), shingle, min_similarity)
-    joined = components(links)
+    joined = components(near_links(classes.select("fp"), radius, bucket_limit))
     member = classes.join(joined.withColumnRenamed("node", "fp"), "fp")
     heads = member.groupBy("component").agg(F.min("rep").alias("head"))
     linked = member.join(heads, "component").select("fp", "head")
@@ -238,10 +238,55 @@ def near_duplicates(
     return fps.join(named, "fp", "left").select(id_col, "fp", F.coalesce("head", id_col).alias("component_id"))
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 6, min_similarity: float | None = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The document with the smallest doc_id of each component, all columns;
-    of rows that repeat a doc_id all stay."""
-    groups = near_duplicates(docs, shingle, radius, min_similarity=min_similarity, id_col=id_col, text_col=text_col)
+def similar_documents(
+    docs: DataFrame,
+    shingle: int = 5,
+    radius: int = 6,
+    min_similarity: float = 0.8,
+    views: int = 2,
+    seed: int = 42,
+    bucket_limit: int = 8192,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """(doc_id, component_id) of documents in a group with another: texts
+    whose fingerprints are at most ``radius`` bits apart in one of ``views``
+    independent fingerprints and whose Jaccard similarity of shingles is at
+    least ``min_similarity``. A pair that one fingerprint misses with
+    probability p, ``views`` of them miss with about p^views.
+
+    Texts equal in all fingerprints are one class, whose smallest doc_id
+    stands for it; of classes equal in one fingerprint, that with the smallest
+    does for links of that fingerprint. Null and empty texts are one class.
+    Links of classes that have no doc_id but null are not followed."""
+    names = ["fp", *[f"fp{v}" for v in range(1, views)]]
+    fps = durable(fingerprints(docs, shingle, seed, id_col, text_col, views))
+    classes = durable(fps.groupBy(*names).agg(F.min(id_col).alias("rep"), F.count(F.lit(1)).alias("n")))
+    found = []
+    for name in names:
+        own = durable(classes.groupBy(F.col(name).alias("fp")).agg(F.min("rep").alias("rep"), F.count(F.lit(1)).alias("n")))
+        links = near_links(own.select("fp"), radius, bucket_limit, 64)
+        ends = [own.select(F.col("fp").alias(e), F.col("rep").alias(f"{e}_rep")) for e in "ab"]
+        links = links.join(ends[0], "a").join(ends[1], "b").select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))
+        several = own.where("n > 1").select(F.col("fp").alias(name), F.col("rep").alias("a"))
+        links = links.unionAll(classes.join(several, name).select("a", F.col("rep").alias("b")))
+        found.append(durable(links.where("a <> b")))
+    links = found[0]
+    for more in found[1:]:
+        links = links.unionAll(more)
+    links = durable(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    ends = durable(links.select(F.explode(F.array("a", "b")).alias(id_col)).distinct())
+    texts = docs.select(id_col, F.col(text_col).alias("text")).join(checked_broadcast(ends, 16), id_col)
+    joined = components(similar(links, texts.withColumnRenamed(id_col, "node"), shingle, min_similarity))
+    grouped = classes.join(joined.withColumnRenamed("node", "rep"), "rep", "left").where("n > 1 or component is not null")
+    return fps.join(grouped.select(*names, F.coalesce("component", "rep").alias("component_id")), names).select(id_col, "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 6, min_similarity: float = 0.8, views: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The document with the smallest doc_id of each group of
+    ``similar_documents``, all columns; of rows that repeat a doc_id all stay
+    or go."""
+    groups = similar_documents(docs, shingle, radius, min_similarity, views, id_col=id_col, text_col=text_col)
     gone = durable(groups.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct())
     return docs.join(checked_broadcast(gone, 24), id_col, "left_anti").select(*docs.columns)
 
