@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logwright.llm.common import checked_broadcast, components, durable, raw, slices
+from logwright.llm.common import checked_broadcast, components, durable, give_back, raw, slices
 
 BITS = 64
 
@@ -165,6 +165,7 @@ def near_links(fps: DataFrame, radius: int = 4, bucket_limit: int = 8192, every_
             found = [x for members in batch.column("fps") for x in _tree_links(np.array(members.as_py(), np.int64), radius, every_up_to)]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
+        give_back()
 
     listed = keyed.join(checked_broadcast(sizes.where(F.col("n").between(3, bucket_limit)).select("key"), 16), "key")
     lists = listed.groupBy("key").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
@@ -207,7 +208,7 @@ def similar(links: DataFrame, texts: DataFrame, shingle: int, least: float) -> D
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], names=["node", "set"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "x", 4 << 20):
             keep = []
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
                 p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
