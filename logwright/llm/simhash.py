@@ -11,12 +11,18 @@ and that table's keys are equal: no near pair is missed.
 Work is on distinct fingerprints. Within a bucket only links that connect it
 are written, never all its pairs; buckets beyond ``bucket_limit`` take another
 exact way, by the midpoints of near pairs, that is linear in their size.
+
+Where links are verified against the texts, a tree of near pairs is not enough:
+a link of it may fail while another pair of the same members holds. There all
+near pairs of a bucket that verified links do not join yet are tried, in rounds
+of sixteen times as many each.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import combinations
+from collections.abc import Callable, Iterator
+from functools import reduce
+from itertools import combinations, count
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +33,8 @@ from pyspark.sql import functions as F
 from logwright.llm.common import checked_broadcast, components, durable, give_back, raw, slices
 
 BITS = 64
+#: Buckets of so many give all their near pairs at once.
+EVERY = 64
 
 
 def covering_masks(radius: int, seed: int = 0) -> list[int]:
@@ -111,16 +119,11 @@ def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, id_col: str
     return docs.select(F.col(id_col).alias("id"), raw(text_col).alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
-def _tree_links(members: np.ndarray, radius: int, every_up_to: int = 0) -> list[tuple[int, int]]:
+def _tree_links(members: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Links that join all of a bucket's members that near pairs connect, at
-    most one less than there are members; every near pair of a bucket of at
-    most ``every_up_to``."""
+    most one less than there are members."""
     members = members.view(np.uint64)  # bits of a signed number are counted without its sign
     signed = lambda x: x.view(np.int64).tolist()
-    if len(members) <= every_up_to:
-        i, j = np.triu_indices(len(members), 1)
-        near = np.bitwise_count(members[i] ^ members[j]) <= radius
-        return list(zip(signed(members[i[near]]), signed(members[j[near]])))
     left, links = members, []
     while len(left) > 1:
         front, left = [left[0]], left[1:]
@@ -145,24 +148,29 @@ def _ball(values: np.ndarray, free: np.ndarray, reach: int) -> Iterator[tuple[np
                 yield values[may] ^ flip, values[may]
 
 
-def near_links(fps: DataFrame, radius: int = 4, bucket_limit: int = 8192, every_up_to: int = 0) -> DataFrame:
+def _keyed(fps: DataFrame, radius: int) -> DataFrame:
+    """All columns of ``fps``, one of them fp, and the key of each table."""
+    signed = lambda x: x - (1 << BITS) if x >> (BITS - 1) else x
+    keys = F.array(*[F.col("fp").bitwiseAND(F.lit(signed(m))) for m in covering_masks(radius)])
+    # few small rows make many: spread them before they grow
+    spread = fps.repartition(2 * int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return spread.select(*fps.columns, F.posexplode(keys).alias("v", "bits")).select(*fps.columns, F.xxhash64("v", "bits").alias("key"))
+
+
+def near_links(fps: DataFrame, radius: int = 4, bucket_limit: int = 8192) -> DataFrame:
     """(a, b): links between distinct fingerprints at most ``radius`` bits
     apart, enough of them that connected components equal those of all such
     pairs. ``fps`` has one column fp of distinct longs. ``radius`` is even."""
     if radius % 2:
         raise ValueError("radius must be even")
-    signed = lambda x: x - (1 << BITS) if x >> (BITS - 1) else x
-    keys = F.array(*[F.col("fp").bitwiseAND(F.lit(signed(m))) for m in covering_masks(radius)])
-    # few small rows make many: spread them before they grow
-    fps = fps.repartition(2 * int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    keyed = fps.select("fp", F.posexplode(keys).alias("v", "bits")).select("fp", F.xxhash64("v", "bits").alias("key"))
+    keyed = _keyed(fps, radius)
     sizes = durable(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("n > 1"))
     near = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= radius
     links = sizes.where("n = 2").where(near("lo", "hi")).select(F.col("lo").alias("a"), F.col("hi").alias("b"))
 
     def tree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [x for members in batch.column("fps") for x in _tree_links(np.array(members.as_py(), np.int64), radius, every_up_to)]
+            found = [x for members in batch.column("fps") for x in _tree_links(np.array(members.as_py(), np.int64), radius)]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
         give_back()
@@ -221,6 +229,118 @@ def similar(links: DataFrame, texts: DataFrame, shingle: int, least: float) -> D
     return pairs.select("a", "b", "x", "y").mapInArrow(compare, f"a {kind}, b {kind}")
 
 
+def _first_pairs(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of near pairs: all of at most EVERY fingerprints, of more a tree
+    for each part that near pairs connect."""
+    if len(fps) <= EVERY:
+        i, j = np.triu_indices(len(fps), 1)
+        near = np.bitwise_count(fps[i] ^ fps[j]) <= radius
+        return i[near], j[near]
+    left, a, b = np.arange(len(fps)), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    while len(left) > 1:
+        front, left = [left[0]], left[1:]
+        while front and len(left):
+            at = front.pop()
+            near = np.bitwise_count(fps[left] ^ fps[at]) <= radius
+            if near.any():
+                found, left = left[near], left[~near]
+                a.append(np.full(len(found), at))
+                b.append(found)
+                front += found.tolist()
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _later_pairs(fps: np.ndarray, tags: np.ndarray, hashes: np.ndarray, other: np.ndarray, radius: int, n: int, turn: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the near pairs of an ``other`` and a member that is none, of
+    unequal tags, whose turn it is: a hash of the pair deals the pairs of a
+    bucket of ``n`` to turns, so that a member has about 16^(turn + 1) by then."""
+    rows, cols = np.flatnonzero(other), np.flatnonzero(~other)
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for at in range(0, len(rows), 256):
+        part = rows[at : at + 256]
+        near = (np.bitwise_count(fps[part][:, None] ^ fps[cols]) <= radius) & (tags[part][:, None] != tags[cols])
+        i, j = np.nonzero(near)
+        i, j = part[i], cols[j]
+        place = _view(hashes[i] ^ hashes[j], 1) / 2.0**BITS * n
+        now = (place < 16.0 ** (turn + 1)) & (place >= (16.0**turn if turn else 0.0))
+        a.append(i[now])
+        b.append(j[now])
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _pairs_of_lists(lists: DataFrame, kind: str, pairs: Callable) -> DataFrame:
+    """(a, b): nodes of the pairs that ``pairs`` finds in each row's n and
+    members, an array of structs that begin with node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("members")
+            nodes, *rest = column.flatten().flatten()
+            rest = [x.to_numpy(zero_copy_only=False) for x in rest]
+            ends = np.cumsum(np.asarray(column.value_lengths()))
+            found, waiting = [], 0
+            for n, lo, hi in zip(batch.column("n").to_pylist(), [0, *ends[:-1].tolist()], ends.tolist()):
+                found.append(np.stack(pairs(n, *(x[lo:hi] for x in rest))) + lo)
+                waiting += found[-1].shape[1]
+                if waiting >= 1 << 18 or hi == ends[-1]:
+                    yield pa.RecordBatch.from_arrays([nodes.take(pa.array(x)) for x in np.concatenate(found, axis=1)], names=["a", "b"])
+                    found, waiting = [], 0
+        give_back()
+
+    return lists.select("n", "members").mapInArrow(run, f"a {kind}, b {kind}")
+
+
+def _distinct_links(links: DataFrame) -> DataFrame:
+    return links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def first_links(members: DataFrame, radius: int, bucket_limit: int) -> tuple[DataFrame, DataFrame | None]:
+    """Links (a, b) of near members (fp, node), and as (fp, node, key, n) the
+    buckets of which they are not all, None if there are none. Fingerprints may
+    repeat. Members of a bucket beyond ``bucket_limit`` are dealt into parts
+    twice, each time by another hash, and linked within the parts."""
+    kind = members.schema["node"].dataType.simpleString()
+    keyed = _keyed(members, radius)
+    ends = [f(c).alias(f"{e}_{c}") for c in ("fp", "node") for f, e in ((F.min, "lo"), (F.max, "hi"))]
+    sizes = durable(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *ends).where("n > 1"))
+    near = F.bit_count(F.col("lo_fp").bitwiseXOR(F.col("hi_fp"))) <= radius
+    links = sizes.where("n = 2").where(near).select(F.col("lo_node").alias("a"), F.col("hi_node").alias("b"))
+    listed = keyed.join(checked_broadcast(durable(sizes.where("n > 2").select("key", "n")), 24), "key")
+    parts = F.ceil(F.col("n") / bucket_limit)
+    part = lambda k: F.pmod(F.xxhash64("node", F.lit(k)), parts)
+    parts = F.when(F.col("n") <= bucket_limit, F.array(F.lit(0).cast("bigint"))).otherwise(F.array(part(1), F.ceil(F.col("n") / bucket_limit) + part(2)))
+    lists = listed.withColumn("part", F.explode(parts)).groupBy("key", "part").agg(F.first("n").alias("n"), F.collect_list(F.struct("node", "fp")).alias("members"))
+    links = links.unionAll(_pairs_of_lists(lists, kind, lambda n, fps: _first_pairs(fps.view(np.uint64), radius)))
+    large = durable(sizes.where(F.col("n") > EVERY).select("key", "n"))
+    return durable(_distinct_links(links)), None if large.isEmpty() else durable(keyed.join(checked_broadcast(large, 24), "key"))
+
+
+def later_links(large: DataFrame, joined: DataFrame, radius: int, bucket_limit: int, turn: int) -> DataFrame | None:
+    """Of the buckets ``large`` (fp, node, key, n), near pairs (a, b) not yet in
+    one component of ``joined`` whose turn it is; None if all had theirs. A
+    bucket's members outside its largest component meet all its members."""
+    kind = large.schema["node"].dataType.simpleString()
+    label = F.coalesce("component", "node").alias("label")
+    labelled = durable(large.where(F.col("n") > (16**turn if turn else 0)).join(joined, "node", "left").select("fp", "node", "key", "n", label))
+    counts = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
+    open_ = durable(counts.groupBy("key").agg(F.max_by("label", "c").alias("top"), (F.sum("c") - F.max("c")).alias("others")).where("others > 0"))
+    if open_.isEmpty():
+        return None
+    rows = labelled.join(open_, "key")
+    parts, blocks = F.ceil(F.col("n") / bucket_limit), F.ceil(F.col("others") / bucket_limit)
+    member = lambda other: F.struct("node", "fp", F.xxhash64("label").alias("tag"), F.xxhash64("node").alias("hash"), F.lit(other).alias("other")).alias("member")
+    dealt = lambda k, of: F.pmod(F.xxhash64("node", F.lit(k)), of)
+    every = lambda of: F.explode(F.sequence(F.lit(0).cast("bigint"), of - 1))
+    all_ = rows.select("key", "n", dealt(1, parts).alias("part"), every(blocks).alias("block"), member(False))
+    others = rows.where("label <> top").select("key", "n", every(parts).alias("part"), dealt(2, blocks).alias("block"), member(True))
+    lists = all_.unionAll(others).groupBy("key", "part", "block").agg(F.first("n").alias("n"), F.collect_list("member").alias("members"))
+
+    def pairs(n: int, fps: np.ndarray, tags: np.ndarray, hashes: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return _later_pairs(fps.view(np.uint64), tags, hashes.view(np.uint64), other.astype(bool), radius, n, turn)
+
+    return durable(_distinct_links(_pairs_of_lists(lists, kind, pairs)))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, seed: int = 42, bucket_limit: int = 8192, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: (doc_id, fp, component_id), the latter the
     smallest doc_id that links of at most ``radius`` differing bits reach.
@@ -256,29 +376,31 @@ def similar_documents(
     least ``min_similarity``. A pair that one fingerprint misses with
     probability p, ``views`` of them miss with about p^views.
 
-    Texts equal in all fingerprints are one class, whose smallest doc_id
-    stands for it; of classes equal in one fingerprint, that with the smallest
-    does for links of that fingerprint. Null and empty texts are one class.
-    Links of classes that have no doc_id but null are not followed."""
+    Groups are those of all such pairs, whatever the size of a bucket. Texts
+    equal in all fingerprints are one class, whose smallest doc_id stands for
+    it. Null and empty texts are one class. Links of classes that have no
+    doc_id but null are not followed."""
     names = ["fp", *[f"fp{v}" for v in range(1, views)]]
     fps = durable(fingerprints(docs, shingle, seed, id_col, text_col, views))
     classes = durable(fps.groupBy(*names).agg(F.min(id_col).alias("rep"), F.count(F.lit(1)).alias("n")))
-    found = []
-    for name in names:
-        own = durable(classes.groupBy(F.col(name).alias("fp")).agg(F.min("rep").alias("rep"), F.count(F.lit(1)).alias("n")))
-        links = near_links(own.select("fp"), radius, bucket_limit, 64)
-        ends = [own.select(F.col("fp").alias(e), F.col("rep").alias(f"{e}_rep")) for e in "ab"]
-        links = links.join(ends[0], "a").join(ends[1], "b").select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))
-        several = own.where("n > 1").select(F.col("fp").alias(name), F.col("rep").alias("a"))
-        links = links.unionAll(classes.join(several, name).select("a", F.col("rep").alias("b")))
-        found.append(durable(links.where("a <> b")))
-    links = found[0]
-    for more in found[1:]:
-        links = links.unionAll(more)
-    links = durable(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    ends = durable(links.select(F.explode(F.array("a", "b")).alias(id_col)).distinct())
-    texts = docs.select(id_col, F.col(text_col).alias("text")).join(checked_broadcast(ends, 16), id_col)
-    joined = components(similar(links, texts.withColumnRenamed(id_col, "node"), shingle, min_similarity))
+
+    def verified(links: DataFrame) -> DataFrame:
+        ends = durable(links.select(F.explode(F.array("a", "b")).alias(id_col)).distinct())
+        texts = docs.select(id_col, F.col(text_col).alias("text")).join(checked_broadcast(ends, 16), id_col)
+        return durable(similar(links, texts.withColumnRenamed(id_col, "node"), shingle, min_similarity))
+
+    members = classes.where("rep is not null")
+    firsts = [first_links(members.select(F.col(name).alias("fp"), F.col("rep").alias("node")), radius, bucket_limit) for name in names]
+    links = verified(durable(reduce(DataFrame.unionAll, [x for x, _ in firsts]).distinct()))
+    joined = durable(components(links))
+    larges = [x for _, x in firsts if x is not None]
+    for turn in count() if larges else ():
+        more = later_links(reduce(DataFrame.unionAll, larges), joined, radius, bucket_limit, turn)
+        if more is None:
+            break
+        if not more.isEmpty():
+            links = durable(links.unionAll(verified(more)))
+            joined = durable(components(links))
     grouped = classes.join(joined.withColumnRenamed("node", "rep"), "rep", "left").where("n > 1 or component is not null")
     return fps.join(grouped.select(*names, F.coalesce("component", "rep").alias("component_id")), names).select(id_col, "component_id")
 

@@ -109,6 +109,38 @@ def test_near_duplicates_are_verified(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
 
 
+@pytest.mark.parametrize("limit", [8192, 100])
+def test_verified_groups_of_large_buckets(spark, limit):
+    """Several hundred edited copies of one text, many of them near in bits
+    and not similar, against all pairs."""
+    rng = random.Random(7)
+
+    def edited(words, n):
+        out = list(words)
+        for _ in range(n):
+            out[rng.randrange(len(out))] = f"new{rng.randrange(9000)}"
+        return out
+
+    # what is repeated weighs in the fingerprint, and in the similarity once
+    base = [f"word{rng.randrange(9000)}" for _ in range(40)] * 15
+    tails = [[f"tail{rng.randrange(9000)}" for _ in range(200)] for _ in range(40)]
+    texts = [" ".join(base + edited(tail, rng.randrange(6))) for tail in tails for _ in range(8)]
+    rng.shuffle(texts)
+    # texts equal in both fingerprints are one class without a comparison
+    texts = list({tuple(simhash.fingerprint(t.encode(), 5, 42, v) for v in (0, 1)): t for t in texts}.values())
+    prints = np.array([[simhash.fingerprint(t.encode(), 5, 42, v) for v in (0, 1)] for t in texts], np.uint64)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    head = list(range(len(texts)))
+    for i, j in np.argwhere((np.bitwise_count(prints[:, None] ^ prints[None]) <= 6).any(2)).tolist():
+        both = len(sets[i] & sets[j])
+        if i < j and both >= 0.8 * (len(sets[i]) + len(sets[j]) - both) and head[i] != head[j]:
+            keep, gone = sorted((head[i], head[j]))
+            head = [keep if x == gone else x for x in head]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in rows_of(simhash.similar_documents(docs, bucket_limit=limit))}
+    assert len(texts) > 200 and [got.get(i, i) for i in range(len(texts))] == head
+
+
 def test_views_of_a_fingerprint_are_independent():
     rng = random.Random(5)
     base = [f"word{rng.randrange(9000)}" for _ in range(2000)]
