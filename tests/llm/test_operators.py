@@ -280,6 +280,24 @@ def test_quality_rejects_noise_and_keeps_prose(spark, docs, pairs):
     assert not got[10**6]["base_failed"] and not got[10**6]["kept"]
 
 
+def test_bands_are_as_narrow_as_the_documents(spark):
+    rows = [("en", 0.7 + 0.001 * (i % 41 - 20) + 0.0005, False) for i in range(410)] + [("fr", 0.6005, False)] * 9
+    got = {r["lang"]: r for r in rows_of(quality.bands(spark.createDataFrame(rows, "lang string, log_ppl double, base_failed boolean"), 6.0, 30.0))}
+    assert got["en"]["lower"] == pytest.approx(0.7 - 6 * 1.4826 * 0.010, abs=0.01)
+    assert got["en"]["upper"] == pytest.approx(0.7 + 30 * 1.4826 * 0.010, abs=0.05)
+    assert got["fr"]["lower"] < 0.6005 < got["fr"]["upper"] and got["fr"]["upper"] - got["fr"]["lower"] < 0.01
+
+
+def test_quality_rejects_labelled_junk_below_the_band(spark, sf):
+    sf = f"{sf}/../sf0.1"  # labels below the band are too few in smaller tables
+    docs = spark.read.parquet(f"{sf}/documents.parquet").join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality"), "doc_id", "left")
+    scored = common.durable(quality.judge(docs))
+    ranges = quality.bands(scored, 6.0, 30.0).withColumnRenamed("lang", "of")
+    under = rows_of(scored.where("not base_failed").join(ranges, F.col("lang") == F.col("of")).where("log_ppl < lower"))
+    junk = [r for r in under if r["quality"] == 0]
+    assert len(junk) > 20 and not any(r["kept"] for r in under) and all(r["quality"] != 1 for r in under)
+
+
 def test_kneser_ney_sums_to_one():
     texts = [b"abracadabra banana bandana\n", b"a cab, a bad cab"] * 3
     codes = np.concatenate([quality._codes([t], 4)[0] for t in texts])
