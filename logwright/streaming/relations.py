@@ -18,6 +18,7 @@ def dangling(stream: DataFrame, log: Log) -> DataFrame:
 
 
 def repeated(stream: DataFrame, time: str, delay: str = "10 minutes") -> DataFrame:
-    """Triples seen more than once within the watermark."""
+    """Triples seen again less than ``delay`` after they were last seen, with
+    the window of the whole run. A stream's output mode is append."""
     names = ["ocel_event_id", "ocel_object_id", "ocel_qualifier"]
-    return stream.withWatermark(time, delay).groupBy(F.window(time, delay), *names).agg(F.count(F.lit(1)).alias("count")).where("count > 1")
+    return stream.withWatermark(time, delay).groupBy(F.session_window(time, delay).alias("window"), *names).agg(F.count(F.lit(1)).alias("count")).where("count > 1")

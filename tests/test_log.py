@@ -304,3 +304,15 @@ def test_streams(spark, log, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted(r["missing_side"] for r in spark.sql("SELECT * FROM dangling").collect()) == ["both", "event"]
+
+
+def test_repeats_meet_across_window_boundaries(spark, tmp_path):
+    rows = [("e", "o", "q", "00:09:30"), ("e", "o", "q", "00:10:30"), ("e", "o", None, "00:10:30"), ("e", "p", "q", "00:01:00"), ("e", "p", "q", "00:19:00"), ("f", "o", "q", "02:00:00")]
+    frame = spark.createDataFrame(rows, "ocel_event_id string, ocel_object_id string, ocel_qualifier string, at string").selectExpr("* except (at)", "to_timestamp('2024-01-01 ' || at) as at")
+    frame.coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(frame.schema).parquet(f"{tmp_path}/in")
+    query = relations.repeated(stream, "at").writeStream.format("memory").queryName("repeated").outputMode("append").start()
+    query.processAllAvailable()
+    query.stop()
+    for got in (spark.table("repeated"), relations.repeated(frame, "at")):
+        assert [(r["ocel_event_id"], r["ocel_object_id"], r["count"]) for r in got.collect()] == [("e", "o", 2)]
