@@ -10,12 +10,17 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship(spark: SparkSession) -> SparkSession:
     """Send this package to the executors, once for each application, so that
-    Python workers can import it wherever they run."""
+    Python workers can import it wherever they run. Batches that go to workers
+    are bounded by bytes, unless the session has another bound: rows may be
+    very long."""
     sc = spark.sparkContext
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, "8m")
     if sc.applicationId not in _SHIPPED:
         root = os.path.dirname(os.path.abspath(__file__))
         path = os.path.join(tempfile.mkdtemp(prefix="logwright-"), "logwright.zip")
