@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import base64
 import heapq
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -26,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logwright.llm.common import raw, slices
+from logwright.llm.common import give_back, raw, ship, slices
 
 #: Classes of input. A blank is U+0020; "last" white space has a text
 #: character after it, "more" has white space or the end. SHORT and LONG are
@@ -156,19 +155,27 @@ def pre_tokens(texts: list[str], table: np.ndarray) -> tuple[bytes, np.ndarray,
 
 class Vocabulary(dict):
     """Ids of pre-tokens, merged when first asked for and kept, up to
-    ``most`` of them."""
+    ``most`` of them: when half as many are new, those not asked for since the
+    last time go."""
 
-    def __init__(self, ranks: dict[bytes, int], most: int = 300_000) -> None:
-        self.ranks, self.most = ranks, most
+    def __init__(self, ranks: dict[bytes, int], most: int = 200_000) -> None:
+        self.ranks, self.most, self.old = ranks, most, {}
 
     def __missing__(self, piece: bytes) -> tuple[int, ...]:
-        out = self.merge(piece)
+        out = self.old.get(piece)
+        if out is None:
+            out = self.merge(piece)
         if len(piece) <= 64:
-            if len(self) >= self.most:
+            if 2 * len(self) >= self.most:
+                self.old = dict(self)
                 self.clear()
             self[piece] = out
         return out
 
+    def forget(self) -> None:
+        self.old = {}
+        self.clear()
+
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """Repeatedly merge the adjacent pair of lowest rank, leftmost first."""
         ranks = self.ranks
@@ -238,34 +245,24 @@ def _pool(ranks: dict[bytes, int]) -> tuple[np.ndarray, bytes]:
     return np.array([len(p) for p in pieces], np.int64), b"".join(pieces)
 
 
-#: The vocabulary that a worker last used, with what it has merged.
-_READY: dict[int, Vocabulary] = {}
-
-
-def _vocabulary(key: int, ranks: dict[bytes, int]) -> Vocabulary:
-    if key not in _READY:
-        _READY.clear()
-        _READY[key] = Vocabulary(ranks)
-    return _READY[key]
-
-
 def encode(docs: DataFrame, ranks_path: str, text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` but the text, then ids and offsets (arrays of
     int): the token ids, and for each the byte of the text's UTF-8 at which it
-    begins; columns of ``docs`` with those names go.
+    begins; columns of ``docs`` with those names go. Other columns are as they
+    were, nulls and repeated rows too; an empty table gives no rows.
 
     ``ranks_path`` is read by the driver. There are no special tokens. A null
     or empty text has no tokens. The vocabulary, of a fixed size, is
     broadcast; texts are taken whole, a batch of bounded bytes at a time."""
     ranks = read_ranks(ranks_path)
-    key, held = zlib.crc32(repr(sorted(ranks.items())).encode()), docs.sparkSession.sparkContext.broadcast((ranks, code_point_classes().tobytes(), _pool(ranks)[0]))
+    held = ship(docs.sparkSession).sparkContext.broadcast((ranks, code_point_classes().tobytes(), _pool(ranks)[0]))
     rest = [c for c in docs.columns if c not in (text_col, "ids", "offsets")]
     source = docs.select(F.struct(*rest).alias("doc"), raw(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, table, widths = held.value
-        words, table = _vocabulary(key, ranks), np.frombuffer(table, np.uint8)
-        for batch in slices(batches, "text", 2 << 20):
+        words, table = Vocabulary(ranks), np.frombuffer(table, np.uint8)
+        for batch in slices(batches, "text", 1 << 19):
             ids, counts = encode_texts(batch.column("text").to_pylist(), words, table)
             ids = np.array(ids, np.int32)
             ends = np.concatenate([[0], np.cumsum(counts)])
@@ -274,6 +271,9 @@ def encode(docs: DataFrame, ranks_path: str, text_col: str = "text") -> DataFram
             begin -= np.repeat(begin[np.minimum(ends[:-1], max(len(begin) - 1, 0))] if len(begin) else np.zeros(len(counts), np.int64), counts)
             lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, pa.int32())) for x in (ids, begin)]
             yield pa.RecordBatch.from_arrays([batch.column("doc"), *lists], names=["doc", "ids", "offsets"])
+        # a worker stays for other tasks: what it has merged goes, and the memory with it
+        words.forget()
+        give_back()
 
     out = source.mapInArrow(run, f"doc {source.schema['doc'].dataType.simpleString()}, ids array<int>, offsets array<int>")
     return out.select(*[F.col("doc").getField(c).alias(c) for c in rest], "ids", "offsets")
@@ -281,9 +281,9 @@ def encode(docs: DataFrame, ranks_path: str, text_col: str = "text") -> DataFram
 
 def decode(tokens: DataFrame, ranks_path: str) -> DataFrame:
     """``tokens`` (columns ids and offsets among others) with decoded, the
-    bytes the ids stand for, each laid down at its offset. Null ids decode to
-    no bytes."""
-    held = tokens.sparkSession.sparkContext.broadcast(_pool(read_ranks(ranks_path)))
+    bytes the ids stand for, each laid down at its offset; a column of that
+    name goes. Null ids decode to no bytes. An empty table gives no rows."""
+    held = ship(tokens.sparkSession).sparkContext.broadcast(_pool(read_ranks(ranks_path)))
     rest = [c for c in tokens.columns if c not in ("ids", "offsets", "decoded")]
     source = tokens.select(F.struct(*rest).alias("doc"), "ids", "offsets")
 

@@ -52,7 +52,10 @@ def exact_duplicates(docs: DataFrame, support: float = 0.0005, strip: bool = Fal
     )
 
 
-def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The documents that stay, all columns; their doc_ids are distinct keys."""
-    gone = durable(exact_duplicates(docs, id_col=id_col, text_col=text_col, **how).where("not kept").select(id_col))
-    return docs.join(checked_broadcast(gone, 24), id_col, "left_anti").select(*docs.columns)
+def drop_exact_duplicates(docs: DataFrame, strip: bool = False, lower: bool = False, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The documents that stay, all columns: of equal texts all rows with the
+    largest doc_id, or with a null one where there is no other."""
+    gone = exact_duplicates(docs, strip=strip, lower=lower, id_col=id_col, text_col=text_col, **how).where("not kept")
+    gone = durable(gone.select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha")).distinct())
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.sha2(normalised(text_col, strip, lower), 256) == F.col("__sha"))
+    return docs.join(checked_broadcast(gone, 112), same, "left_anti").select(*docs.columns)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logwright.llm.common import durable, raw, slices
+from logwright.llm.common import durable, raw, ship, slices
 
 BLANK = b" \t\n\x0b\x0c\r"
 #: Bytes of a code point after its first.
@@ -155,14 +155,14 @@ def build_index(counts: DataFrame, keys_per_shard: int = 1 << 20) -> tuple[DataF
     counts = durable(counts)
     shards = max(1, -(-counts.count() // keys_per_shard))
 
-    def build(pdf):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        index = ShardIndex.build(*(pdf[c].to_numpy(np.int64).view(np.uint64) for c in ("h1", "h2")), *(pdf[c].to_numpy(np.int64) for c in ("n", "winner")))
-        return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "keys": [len(pdf)], "hasher": [index.hasher.pack()], "prints": [index.prints.tobytes()], "counts": [index.counts.tobytes()], "winners": [index.winners.tobytes()]})
+    def build(rows: pa.Table) -> pa.Table:
+        h1, h2, n, winner = (rows.column(c).to_numpy() for c in ("h1", "h2", "n", "winner"))
+        index = ShardIndex.build(h1.view(np.uint64), h2.view(np.uint64), n, winner)
+        packed = {"hasher": index.hasher.pack(), "prints": index.prints.tobytes(), "counts": index.counts.tobytes(), "winners": index.winners.tobytes()}
+        return pa.table({"shard": rows.column("shard").slice(0, 1), "keys": pa.array([len(n)], pa.int64()), **{k: pa.array([v], pa.binary()) for k, v in packed.items()}})
 
     dealt = counts.withColumn("shard", F.pmod(F.shiftrightunsigned("h1", 7), F.lit(shards)).cast("long"))
-    built = dealt.groupBy("shard").applyInPandas(build, "shard long, keys long, hasher binary, prints binary, counts binary, winners binary")
+    built = dealt.groupBy("shard").applyInArrow(build, "shard long, keys long, hasher binary, prints binary, counts binary, winners binary")
     return durable(built), shards
 
 
@@ -188,7 +188,7 @@ def _drops(doc: int, places: np.ndarray, winners: np.ndarray, counts: np.ndarray
 
 def dedup_lines(docs: DataFrame, least_chars: int = 20, least_docs: int = 3, keys_per_shard: int = 1 << 20, broadcast_limit: int = 64 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` with the kept text in place of the text, then
-    n_lines and n_dropped (long).
+    n_lines and n_dropped (long); columns of ``docs`` with those names go.
 
     A line's key is the line without white space at its ends and in lower
     case (A-Z). Keys of at least ``least_chars`` code points in at least
@@ -196,6 +196,7 @@ def dedup_lines(docs: DataFrame, least_chars: int = 20, least_docs: int = 3, key
     doc_id that has them. A null or empty text is one empty line and stays as
     it is. Rows that repeat a doc_id count as documents of their own, and all
     rows with the winning doc_id keep the line; a null doc_id is smallest."""
+    ship(docs.sparkSession)
     counts = line_counts(docs, least_chars, least_docs, id_col, text_col)
     index, shards = build_index(counts, keys_per_shard)
     size = index.agg(F.sum(sum(F.octet_length(c) for c in ("hasher", "prints", "counts", "winners")))).first()[0] or 0
@@ -205,6 +206,14 @@ def dedup_lines(docs: DataFrame, least_chars: int = 20, least_docs: int = 3, key
     return _probe_there(docs.select(*names), index, shards, least_chars, id_col, text_col)
 
 
+def drop_repeated_lines(docs: DataFrame, **how) -> DataFrame:
+    """The documents with the text that ``dedup_lines`` leaves, all columns,
+    also those named as what it counts."""
+    held = {c: f"__held_{c}" for c in ("n_lines", "n_dropped") if c in docs.columns}
+    out = dedup_lines(docs.withColumnsRenamed(held), **how).drop("n_lines", "n_dropped")
+    return out.withColumnsRenamed({v: k for k, v in held.items()}).select(*docs.columns)
+
+
 def _rebuilt(batch: pa.RecordBatch, names: list[str], texts: list, n_lines: list[int], n_dropped: list[int]) -> pa.RecordBatch:
     columns = [pa.array(texts, pa.binary()) if c == "__text" else batch.column(c) for c in names]
     return pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=[*names, "n_lines", "n_dropped"])

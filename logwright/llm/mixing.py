@@ -18,10 +18,10 @@ from __future__ import annotations
 
 from math import log
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logwright.llm.common import durable
+from logwright.llm.common import checked_broadcast, durable
 
 
 def weights_at(shares: dict, a: float) -> dict:
@@ -85,7 +85,7 @@ def mixture(tokens: dict, budget: float | None = None, entropy_share: float = 0.
     return weights_at({s: n / total for s, n in tokens.items()}, a), a, least(a)
 
 
-def token_count(text_col: str):  # noqa: ANN201
+def token_count(text_col: str) -> Column:
     """Words of a text, and one for its end."""
     return (F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")) + 1).cast("long")
 
@@ -110,40 +110,68 @@ def mix(
     inside a document it is taken still. Rows that repeat a doc_id are taken
     alike. An empty table gives no rows. At most ``max_repeats`` passes, in
     part or whole, are made over a source as long as the budget allows it."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), token_count(text_col).alias("n_tokens"))
+    placed, _ = _started(docs, budget, entropy_share, max_repeats, seed, id_col, text_col, source_col)
+    placed = placed.where("start < part")
+    placed = placed.withColumn("block", F.least(F.floor(F.col("start") / F.col("part") * blocks), F.lit(blocks - 1)).cast("int"))
+    # slots in a block: again slices of a random order, and ranks within
+    placed = placed.withColumn("place", F.xxhash64("doc_id", "t", "epoch", F.lit(seed + 1))).withColumn("part_of", F.shiftrightunsigned("place", 56))
+    placed = durable(placed.select("doc_id", "source", "t", "n_tokens", "epoch", "weight", "block", "place", "part_of"))
+    counts = placed.groupBy("block", "part_of").agg(F.count(F.lit(1)).alias("n"))
+    base = counts.withColumn("base", F.sum("n").over(Window.partitionBy("block").orderBy("part_of")) - F.col("n"))
+    base = checked_broadcast(durable(base.select("block", "part_of", "base")), 24)
+    rank = F.row_number().over(Window.partitionBy("block", "part_of").orderBy("place", "doc_id", "t", "epoch"))
+    out = placed.withColumn("rank", rank).join(base, ["block", "part_of"])
+    return out.select(F.col("doc_id").alias(id_col), F.col("source").alias(source_col), "n_tokens", "epoch", "weight", "block", (F.col("base") + F.col("rank") - 1).alias("slot"))
+
+
+def text_key(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
+def _started(docs: DataFrame, budget: float | None, entropy_share: float, max_repeats: float, seed: int, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, DataFrame]:
+    """For each row and pass over its source, the place start in the source's
+    stream of tokens, of which the first part tokens are taken; and a row
+    (s, epoch, weight, part, pass_tokens) for each source and pass."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), token_count(text_col).alias("n_tokens"), text_key(text_col).alias("t"))
     rows = durable(rows)
     tokens = {r[0]: r[1] for r in rows.groupBy("source").agg(F.sum("n_tokens")).collect()}
     weights, _, budget = mixture(tokens, budget, entropy_share, max_repeats)
     spark = docs.sparkSession
-    # one entry for each source and pass; sources are few
+    # one entry for each source and pass; sources are as few as the driver can plan for
     plan = [(s, e, float(w), w * budget, float(tokens[s])) for s, w in weights.items() for e in range(max(1, -int(-w * budget // tokens[s])))]
-    passes = F.broadcast(spark.createDataFrame(plan, "s string, epoch int, weight double, part double, pass_tokens double"))
-    taken = rows.join(passes, F.col("source").cast("string").eqNullSafe(F.col("s")))
-    taken = taken.withColumn("order", F.xxhash64("doc_id", "epoch", F.lit(seed))).withColumn("cut", F.shiftrightunsigned("order", 54))
+    passes = spark.createDataFrame(plan, "s string, epoch int, weight double, part double, pass_tokens double")
+    taken = rows.join(F.broadcast(passes) if len(plan) <= 1 << 16 else passes, F.col("source").cast("string").eqNullSafe(F.col("s")))
+    taken = taken.withColumn("order", F.xxhash64("doc_id", "t", "epoch", F.lit(seed))).withColumn("cut", F.shiftrightunsigned("order", 54))
     # running tokens of each pass: sums of slices of the random order, then within a slice
     sums = taken.groupBy("s", "epoch", "cut").agg(F.sum("n_tokens").alias("cut_tokens"))
     before = sums.withColumn("before", F.sum("cut_tokens").over(Window.partitionBy("s", "epoch").orderBy("cut")) - F.col("cut_tokens"))
-    before = F.broadcast(durable(before.select(F.col("s").alias("bs"), F.col("epoch").alias("be"), F.col("cut").alias("bc"), "before")))
-    inside = Window.partitionBy("s", "epoch", "cut").orderBy("order", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = checked_broadcast(durable(before.select(F.col("s").alias("bs"), F.col("epoch").alias("be"), F.col("cut").alias("bc"), "before")), 48)
+    inside = Window.partitionBy("s", "epoch", "cut").orderBy("order", "doc_id", "t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = taken.withColumn("upto", F.sum("n_tokens").over(inside) - F.col("n_tokens"))
     placed = placed.join(before, F.col("s").eqNullSafe(F.col("bs")) & (F.col("epoch") == F.col("be")) & (F.col("cut") == F.col("bc")))
     start = F.col("epoch") * F.col("pass_tokens") + F.col("before") + F.col("upto")
-    placed = placed.withColumn("start", start).where("start < part")
-    placed = placed.withColumn("block", F.least(F.floor(F.col("start") / F.col("part") * blocks), F.lit(blocks - 1)).cast("int"))
-    # slots in a block: again slices of a random order, and ranks within
-    placed = placed.withColumn("place", F.xxhash64("doc_id", "epoch", F.lit(seed + 1))).withColumn("part_of", F.shiftrightunsigned("place", 56))
-    placed = durable(placed.select("doc_id", "source", "n_tokens", "epoch", "weight", "block", "place", "part_of"))
-    counts = placed.groupBy("block", "part_of").agg(F.count(F.lit(1)).alias("n"))
-    base = counts.withColumn("base", F.sum("n").over(Window.partitionBy("block").orderBy("part_of")) - F.col("n"))
-    base = F.broadcast(durable(base.select("block", "part_of", "base")))
-    rank = F.row_number().over(Window.partitionBy("block", "part_of").orderBy("place", "doc_id", "epoch", "n_tokens"))
-    out = placed.withColumn("rank", rank).join(base, ["block", "part_of"])
-    return out.select(F.col("doc_id").alias(id_col), F.col("source").alias(source_col), "n_tokens", "epoch", "weight", "block", (F.col("base") + F.col("rank") - 1).alias("slot"))
+    return placed.withColumn("start", start), passes
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
+def mixed(
+    docs: DataFrame,
+    budget: float | None = None,
+    entropy_share: float = 0.98,
+    max_repeats: float = 4.0,
+    seed: int = 42,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+) -> DataFrame:
     """The documents as often as the mixture takes them, all columns; ``mix``
-    has their order. A doc_id of several rows brings all of them each time."""
-    times = mix(docs, id_col=id_col, **how).select(id_col, "epoch").distinct().groupBy(id_col).agg(F.count(F.lit(1)).cast("int").alias("__times"))
-    taken = docs.join(times, id_col)
-    return taken.withColumn("__again", F.explode(F.sequence(F.lit(1), "__times"))).select(*docs.columns)
+    has their order. A pass takes the rows before a place in its random order;
+    rows alike in doc_id, source and text, nulls equal, share a place, and come
+    where the mixture takes them all. Without a budget every row comes at least
+    once. Texts are not shuffled: only the places where passes end are sought."""
+    placed, passes = _started(docs, budget, entropy_share, max_repeats, seed, id_col, text_col, source_col)
+    signed = lambda c: c.bitwiseXOR(F.lit(-(1 << 63)))
+    ends = durable(placed.where("start >= part").groupBy(F.col("s").alias("es"), F.col("epoch").alias("ee")).agg(F.min(signed(F.col("order"))).alias("__end")))
+    limits = passes.join(ends, F.col("s").eqNullSafe(F.col("es")) & (F.col("epoch") == F.col("ee")), "left").select(F.col("s").alias("__source"), F.col("epoch").alias("__epoch"), "__end")
+    rows = docs.join(checked_broadcast(durable(limits), 200), F.col(source_col).cast("string").eqNullSafe(F.col("__source")))
+    place = signed(F.xxhash64(F.col(id_col), text_key(text_col), F.col("__epoch"), F.lit(seed)))
+    return rows.where(F.col("__end").isNull() | (place < F.col("__end"))).select(*docs.columns)

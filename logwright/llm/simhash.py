@@ -11,18 +11,12 @@ and that table's keys are equal: no near pair is missed.
 Work is on distinct fingerprints. Within a bucket only links that connect it
 are written, never all its pairs; buckets beyond ``bucket_limit`` take another
 exact way, by the midpoints of near pairs, that is linear in their size.
-
-Where links are verified against the texts, a tree of near pairs is not enough:
-a link of it may fail while another pair of the same members holds. There all
-near pairs of a bucket that verified links do not join yet are tried, in rounds
-of sixteen times as many each.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from functools import reduce
-from itertools import combinations, count
+from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -33,17 +27,15 @@ from pyspark.sql import functions as F
 from logwright.llm.common import checked_broadcast, components, durable, give_back, raw, slices
 
 BITS = 64
-#: Buckets of so many give all their near pairs at once.
-EVERY = 64
 
 
-def covering_masks(radius: int, seed: int = 0) -> list[int]:
-    """2^(radius+1) - 1 masks of 64 bits. The vectors m(i) run through whole
+def covering_masks(radius: int, seed: int = 0, bits: int = BITS) -> list[int]:
+    """2^(radius+1) - 1 masks of ``bits`` bits. The vectors m(i) run through whole
     permutations of the space, so that all masks keep about half the bits."""
     space, rng, vectors = 1 << (radius + 1), np.random.default_rng(seed), []
-    while len(vectors) < BITS:
+    while len(vectors) < bits:
         vectors += rng.permutation(space).tolist()
-    return [sum(1 << i for i, m in enumerate(vectors[:BITS]) if (m & v).bit_count() & 1) for v in range(1, space)]
+    return [sum(1 << i for i, m in enumerate(vectors[:bits]) if (m & v).bit_count() & 1) for v in range(1, space)]
 
 
 def fold(hashes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -66,42 +58,38 @@ def _shingle_hashes(text: bytes | None, shingle: int, seed: int, step: int = 1 <
         yield [digest(joined[a:b], seed) for a, b in zip(first[at : at + step].tolist(), last[at : at + step].tolist())]
 
 
-def _view(hashes: np.ndarray, view: int) -> np.ndarray:
-    """Hashes of the same shingles as another hash function would give them
-    (the finalizer of SplitMix64); view 0 leaves them as they are."""
-    if not view:
-        return hashes
+def mixed_hashes(hashes: np.ndarray, view: int) -> np.ndarray:
+    """Hashes of the same things as another hash function would give them
+    (the finalizer of SplitMix64)."""
     x = hashes + np.uint64(view * 0x9E3779B97F4A7C15 & (1 << BITS) - 1)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprint(text: bytes | None, shingle: int = 4, seed: int = 42, view: int = 0) -> int:
+def fingerprint(text: bytes | None, shingle: int = 4, seed: int = 42) -> int:
     """The unsigned fingerprint of one text; without words it is zero."""
     ones, total = np.zeros(BITS, np.int64), 0
     for part in _shingle_hashes(text, shingle, seed):
-        hashes = _view(np.array(part, np.uint64), view)
+        hashes = np.array(part, np.uint64)
         ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         total += len(part)
     return int(np.packbits(2 * ones > total, bitorder="little").view(np.uint64)[0]) if total else 0
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", views: int = 1) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp): the 64-bit fingerprint of each whole text as a signed
-    long, and fp1 and so on for further ``views``, independent fingerprints of
-    the same shingles. A null, empty or blank text has fingerprint zero; a text
-    of fewer words than ``shingle`` has one shingle, its whole word sequence."""
+    long. A null, empty or blank text has fingerprint zero; a text of fewer
+    words than ``shingle`` has one shingle, its whole word sequence."""
     id_type = docs.select(id_col).schema[0].dataType
-    names = ["fp", *[f"fp{v}" for v in range(1, views)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 4 << 20):
-            texts, out = batch.column("text").to_pylist(), np.zeros((views, batch.num_rows), np.uint64)
+            texts, out = batch.column("text").to_pylist(), np.zeros(batch.num_rows, np.uint64)
             hashes, where, lengths = [], [], []
             for i, text in enumerate(texts):
                 if text and len(text) > 4 << 20:
-                    out[:, i] = [fingerprint(text, shingle, seed, v) for v in range(views)]
+                    out[i] = fingerprint(text, shingle, seed)
                     continue
                 for part in _shingle_hashes(text, shingle, seed, 1 << 62):
                     hashes += part
@@ -109,14 +97,11 @@ def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, id_col: str
                     lengths.append(len(part))
                 if len(hashes) >= 1 << 18 or i + 1 == len(texts):
                     if where:
-                        of = np.array(hashes, np.uint64)
-                        for v in range(views):
-                            out[v, where] = fold(_view(of, v), np.array(lengths))
+                        out[where] = fold(np.array(hashes, np.uint64), np.array(lengths))
                     hashes, where, lengths = [], [], []
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *[pa.array(x.view(np.int64)) for x in out]], names=["id", *names])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out.view(np.int64))], names=["id", "fp"])
 
-    schema = f"id {id_type.simpleString()}, " + ", ".join(f"{n} bigint" for n in names)
-    return docs.select(F.col(id_col).alias("id"), raw(text_col).alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("id"), raw(text_col).alias("text")).mapInArrow(run, f"id {id_type.simpleString()}, fp bigint").withColumnRenamed("id", id_col)
 
 
 def _tree_links(members: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -204,143 +189,6 @@ def _midpoint_links(members: DataFrame, radius: int) -> DataFrame:
     return spots.join(least, "z").where("fp <> lo").select(F.col("lo").alias("a"), F.col("fp").alias("b")).distinct()
 
 
-def similar(links: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
-    """Of ``links`` (a, b), those whose texts have a Jaccard similarity of
-    distinct word shingles of at least ``least``. ``texts``: (node, text), a
-    row for each end of a link; of several any will do."""
-    kind = texts.schema["node"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):
-            sets = [np.unique(np.array([h for part in _shingle_hashes(t, shingle, 0) for h in part], np.uint64)).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], names=["node", "set"])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "x", 4 << 20):
-            keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(both >= least * (len(p) + len(q) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    sets = durable(texts.select("node", raw("text").alias("text")).mapInArrow(run, f"node {kind}, set binary"))
-    pairs = links.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-    return pairs.select("a", "b", "x", "y").mapInArrow(compare, f"a {kind}, b {kind}")
-
-
-def _first_pairs(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of near pairs: all of at most EVERY fingerprints, of more a tree
-    for each part that near pairs connect."""
-    if len(fps) <= EVERY:
-        i, j = np.triu_indices(len(fps), 1)
-        near = np.bitwise_count(fps[i] ^ fps[j]) <= radius
-        return i[near], j[near]
-    left, a, b = np.arange(len(fps)), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    while len(left) > 1:
-        front, left = [left[0]], left[1:]
-        while front and len(left):
-            at = front.pop()
-            near = np.bitwise_count(fps[left] ^ fps[at]) <= radius
-            if near.any():
-                found, left = left[near], left[~near]
-                a.append(np.full(len(found), at))
-                b.append(found)
-                front += found.tolist()
-    return np.concatenate(a), np.concatenate(b)
-
-
-def _later_pairs(fps: np.ndarray, tags: np.ndarray, hashes: np.ndarray, other: np.ndarray, radius: int, n: int, turn: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the near pairs of an ``other`` and a member that is none, of
-    unequal tags, whose turn it is: a hash of the pair deals the pairs of a
-    bucket of ``n`` to turns, so that a member has about 16^(turn + 1) by then."""
-    rows, cols = np.flatnonzero(other), np.flatnonzero(~other)
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for at in range(0, len(rows), 256):
-        part = rows[at : at + 256]
-        near = (np.bitwise_count(fps[part][:, None] ^ fps[cols]) <= radius) & (tags[part][:, None] != tags[cols])
-        i, j = np.nonzero(near)
-        i, j = part[i], cols[j]
-        place = _view(hashes[i] ^ hashes[j], 1) / 2.0**BITS * n
-        now = (place < 16.0 ** (turn + 1)) & (place >= (16.0**turn if turn else 0.0))
-        a.append(i[now])
-        b.append(j[now])
-    return np.concatenate(a), np.concatenate(b)
-
-
-def _pairs_of_lists(lists: DataFrame, kind: str, pairs: Callable) -> DataFrame:
-    """(a, b): nodes of the pairs that ``pairs`` finds in each row's n and
-    members, an array of structs that begin with node."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column("members")
-            nodes, *rest = column.flatten().flatten()
-            rest = [x.to_numpy(zero_copy_only=False) for x in rest]
-            ends = np.cumsum(np.asarray(column.value_lengths()))
-            found, waiting = [], 0
-            for n, lo, hi in zip(batch.column("n").to_pylist(), [0, *ends[:-1].tolist()], ends.tolist()):
-                found.append(np.stack(pairs(n, *(x[lo:hi] for x in rest))) + lo)
-                waiting += found[-1].shape[1]
-                if waiting >= 1 << 18 or hi == ends[-1]:
-                    yield pa.RecordBatch.from_arrays([nodes.take(pa.array(x)) for x in np.concatenate(found, axis=1)], names=["a", "b"])
-                    found, waiting = [], 0
-        give_back()
-
-    return lists.select("n", "members").mapInArrow(run, f"a {kind}, b {kind}")
-
-
-def _distinct_links(links: DataFrame) -> DataFrame:
-    return links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def first_links(members: DataFrame, radius: int, bucket_limit: int) -> tuple[DataFrame, DataFrame | None]:
-    """Links (a, b) of near members (fp, node), and as (fp, node, key, n) the
-    buckets of which they are not all, None if there are none. Fingerprints may
-    repeat. Members of a bucket beyond ``bucket_limit`` are dealt into parts
-    twice, each time by another hash, and linked within the parts."""
-    kind = members.schema["node"].dataType.simpleString()
-    keyed = _keyed(members, radius)
-    ends = [f(c).alias(f"{e}_{c}") for c in ("fp", "node") for f, e in ((F.min, "lo"), (F.max, "hi"))]
-    sizes = durable(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *ends).where("n > 1"))
-    near = F.bit_count(F.col("lo_fp").bitwiseXOR(F.col("hi_fp"))) <= radius
-    links = sizes.where("n = 2").where(near).select(F.col("lo_node").alias("a"), F.col("hi_node").alias("b"))
-    listed = keyed.join(checked_broadcast(durable(sizes.where("n > 2").select("key", "n")), 24), "key")
-    parts = F.ceil(F.col("n") / bucket_limit)
-    part = lambda k: F.pmod(F.xxhash64("node", F.lit(k)), parts)
-    parts = F.when(F.col("n") <= bucket_limit, F.array(F.lit(0).cast("bigint"))).otherwise(F.array(part(1), F.ceil(F.col("n") / bucket_limit) + part(2)))
-    lists = listed.withColumn("part", F.explode(parts)).groupBy("key", "part").agg(F.first("n").alias("n"), F.collect_list(F.struct("node", "fp")).alias("members"))
-    links = links.unionAll(_pairs_of_lists(lists, kind, lambda n, fps: _first_pairs(fps.view(np.uint64), radius)))
-    large = durable(sizes.where(F.col("n") > EVERY).select("key", "n"))
-    return durable(_distinct_links(links)), None if large.isEmpty() else durable(keyed.join(checked_broadcast(large, 24), "key"))
-
-
-def later_links(large: DataFrame, joined: DataFrame, radius: int, bucket_limit: int, turn: int) -> DataFrame | None:
-    """Of the buckets ``large`` (fp, node, key, n), near pairs (a, b) not yet in
-    one component of ``joined`` whose turn it is; None if all had theirs. A
-    bucket's members outside its largest component meet all its members."""
-    kind = large.schema["node"].dataType.simpleString()
-    label = F.coalesce("component", "node").alias("label")
-    labelled = durable(large.where(F.col("n") > (16**turn if turn else 0)).join(joined, "node", "left").select("fp", "node", "key", "n", label))
-    counts = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
-    open_ = durable(counts.groupBy("key").agg(F.max_by("label", "c").alias("top"), (F.sum("c") - F.max("c")).alias("others")).where("others > 0"))
-    if open_.isEmpty():
-        return None
-    rows = labelled.join(open_, "key")
-    parts, blocks = F.ceil(F.col("n") / bucket_limit), F.ceil(F.col("others") / bucket_limit)
-    member = lambda other: F.struct("node", "fp", F.xxhash64("label").alias("tag"), F.xxhash64("node").alias("hash"), F.lit(other).alias("other")).alias("member")
-    dealt = lambda k, of: F.pmod(F.xxhash64("node", F.lit(k)), of)
-    every = lambda of: F.explode(F.sequence(F.lit(0).cast("bigint"), of - 1))
-    all_ = rows.select("key", "n", dealt(1, parts).alias("part"), every(blocks).alias("block"), member(False))
-    others = rows.where("label <> top").select("key", "n", every(parts).alias("part"), dealt(2, blocks).alias("block"), member(True))
-    lists = all_.unionAll(others).groupBy("key", "part", "block").agg(F.first("n").alias("n"), F.collect_list("member").alias("members"))
-
-    def pairs(n: int, fps: np.ndarray, tags: np.ndarray, hashes: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return _later_pairs(fps.view(np.uint64), tags, hashes.view(np.uint64), other.astype(bool), radius, n, turn)
-
-    return durable(_distinct_links(_pairs_of_lists(lists, kind, pairs)))
-
-
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, seed: int = 42, bucket_limit: int = 8192, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: (doc_id, fp, component_id), the latter the
     smallest doc_id that links of at most ``radius`` differing bits reach.
@@ -359,61 +207,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, seed: in
     return fps.join(named, "fp", "left").select(id_col, "fp", F.coalesce("head", id_col).alias("component_id"))
 
 
-def similar_documents(
-    docs: DataFrame,
-    shingle: int = 5,
-    radius: int = 6,
-    min_similarity: float = 0.8,
-    views: int = 2,
-    seed: int = 42,
-    bucket_limit: int = 8192,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-) -> DataFrame:
-    """(doc_id, component_id) of documents in a group with another: texts
-    whose fingerprints are at most ``radius`` bits apart in one of ``views``
-    independent fingerprints and whose Jaccard similarity of shingles is at
-    least ``min_similarity``. A pair that one fingerprint misses with
-    probability p, ``views`` of them miss with about p^views.
-
-    Groups are those of all such pairs, whatever the size of a bucket. Texts
-    equal in all fingerprints are one class, whose smallest doc_id stands for
-    it. Null and empty texts are one class. Links of classes that have no
-    doc_id but null are not followed."""
-    names = ["fp", *[f"fp{v}" for v in range(1, views)]]
-    fps = durable(fingerprints(docs, shingle, seed, id_col, text_col, views))
-    classes = durable(fps.groupBy(*names).agg(F.min(id_col).alias("rep"), F.count(F.lit(1)).alias("n")))
-
-    def verified(links: DataFrame) -> DataFrame:
-        ends = durable(links.select(F.explode(F.array("a", "b")).alias(id_col)).distinct())
-        texts = docs.select(id_col, F.col(text_col).alias("text")).join(checked_broadcast(ends, 16), id_col)
-        return durable(similar(links, texts.withColumnRenamed(id_col, "node"), shingle, min_similarity))
-
-    members = classes.where("rep is not null")
-    firsts = [first_links(members.select(F.col(name).alias("fp"), F.col("rep").alias("node")), radius, bucket_limit) for name in names]
-    links = verified(durable(reduce(DataFrame.unionAll, [x for x, _ in firsts]).distinct()))
-    joined = durable(components(links))
-    larges = [x for _, x in firsts if x is not None]
-    for turn in count() if larges else ():
-        more = later_links(reduce(DataFrame.unionAll, larges), joined, radius, bucket_limit, turn)
-        if more is None:
-            break
-        if not more.isEmpty():
-            links = durable(links.unionAll(verified(more)))
-            joined = durable(components(links))
-    grouped = classes.join(joined.withColumnRenamed("node", "rep"), "rep", "left").where("n > 1 or component is not null")
-    return fps.join(grouped.select(*names, F.coalesce("component", "rep").alias("component_id")), names).select(id_col, "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 6, min_similarity: float = 0.8, views: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The document with the smallest doc_id of each group of
-    ``similar_documents``, all columns; of rows that repeat a doc_id all stay
-    or go."""
-    groups = similar_documents(docs, shingle, radius, min_similarity, views, id_col=id_col, text_col=text_col)
-    gone = durable(groups.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct())
-    return docs.join(checked_broadcast(gone, 24), id_col, "left_anti").select(*docs.columns)
-
-
 def hex16(column: str | Column) -> Column:
     """A long as 16 lower-case hex digits."""
     return F.lpad(F.lower(F.hex(column)), 16, "0")
