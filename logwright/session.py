@@ -20,7 +20,7 @@ def ship(spark: SparkSession) -> SparkSession:
     very long."""
     sc = spark.sparkContext
     if spark.conf.get(_BATCH, None) is None:
-        spark.conf.set(_BATCH, "8m")
+        spark.conf.set(_BATCH, "4m")
     if sc.applicationId not in _SHIPPED:
         root = os.path.dirname(os.path.abspath(__file__))
         path = os.path.join(tempfile.mkdtemp(prefix="logwright-"), "logwright.zip")
