@@ -1,12 +1,12 @@
 """Sharding by histogram sort, in DataFrame operations only.
 
-Rows are ordered by a 63-bit hash of their text, then by doc_id, so equal
-texts follow one another. The driver holds a small histogram: exact bytes and
+Rows are ordered by a 63-bit hash of their text, then by doc_id, then by a
+number of their own, so equal texts follow one another. The driver holds a small histogram: exact bytes and
 rows between candidate boundaries, counted across all partitions. Each round
 splits the intervals that still hide a splitter outside the tolerance, or more
 rows than one task should order, into 256 by new probes between the smallest
 and the largest key seen there; an interval of one hash alone is probed by
-doc_id. When every splitter lies on a boundary within the tolerance, rows go
+doc_id, one of equal rows by their numbers. When every splitter lies on a boundary within the tolerance, rows go
 through one exchange, by interval, and get shard and slot from the interval's
 place in the order.
 
@@ -30,33 +30,34 @@ _FAR = 1 << 61
 
 @dataclass
 class Interval:
-    """Rows of one path of probes; ``level`` 0 is ordered by hash, 1 by
-    doc_id within one hash."""
+    """Rows of one path of probes, between the least and the largest hash,
+    doc_id and number in it."""
 
     path: int
-    level: int
     lo: int
     hi: int
     id_lo: int
     id_hi: int
+    row_lo: int
+    row_hi: int
     size: int
     rows: int
 
     @property
-    def single(self) -> bool:
-        return self.lo == self.hi and self.id_lo == self.id_hi
+    def place(self) -> tuple[int, int, int]:
+        return self.lo, self.id_lo, self.row_lo
 
     @property
     def probes(self) -> tuple[int, int, int]:
         """Level, first key and step of the probes that split this interval."""
-        level = int(self.lo == self.hi)
-        lo, hi = (self.id_lo, self.id_hi) if level else (self.lo, self.hi)
+        level = 0 if self.lo < self.hi else 1 if self.id_lo < self.id_hi else 2
+        lo, hi = ((self.lo, self.hi), (self.id_lo, self.id_hi), (self.row_lo, self.row_hi))[level]
         return level, lo, (hi - lo) // FAN + 1
 
 
 def _histogram(rows: DataFrame, path: Column) -> list[Interval]:
-    found = rows.groupBy(path.alias("path")).agg(F.min("h"), F.max("h"), F.min("k"), F.max("k"), F.sum("size"), F.count(F.lit(1)))
-    return sorted((Interval(r[0], 0, *r[1:]) for r in found.collect()), key=lambda x: (x.lo, x.id_lo, x.path))
+    found = rows.groupBy(path.alias("path")).agg(F.min("h"), F.max("h"), F.min("k"), F.max("k"), F.min("r"), F.max("r"), F.sum("size"), F.count(F.lit(1)))
+    return sorted((Interval(*r) for r in found.collect()), key=lambda x: x.place)
 
 
 def _splitters(order: list[Interval], shards: int, law: str) -> list[int]:
@@ -82,7 +83,7 @@ def _open(order: list[Interval], shards: int, tolerance: float, most_rows: float
             t = total * target / shards
             crossed |= min(t - below, above - t) > slack
             target += 1
-        if not x.single and (crossed or x.rows > most_rows):
+        if x.rows > 1 and (crossed or x.rows > most_rows):
             out.append(x)
         below = above
     return out
@@ -93,9 +94,9 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40, tolerance: float = 0.01, e
     document. size: UTF-8 bytes of the text, null none, plus ``extra_bytes``.
     Shards are consecutive runs of the order whose sizes differ from the mean
     by at most twice ``tolerance``, or by one row where rows are larger; slot
-    counts from 0 in each. Rows with equal doc_id and text share a place in
-    the order and a shard; a null doc_id comes first among equal texts. The
-    hash of a null text is that of an empty one. An empty table gives no
+    counts from 0 in each. Rows with equal doc_id and text follow one another
+    and may be split like any others; a null doc_id comes first among equal
+    texts. The hash of a null text is that of an empty one. An empty table gives no
     rows, and shards without rows are possible only with fewer rows than
     shards or rows larger than a shard."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -106,7 +107,8 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40, tolerance: float = 0.01, e
         (F.octet_length(text).cast("long") + extra_bytes).alias("size"),
         F.crc32(text).alias("text_crc32"),
     )
-    rows = durable(rows.withColumn("path", F.shiftrightunsigned("h", 63 - TOP_BITS)))
+    # numbers are drawn once, for what is kept
+    rows = durable(rows.withColumns({"path": F.shiftrightunsigned("h", 63 - TOP_BITS), "r": F.monotonically_increasing_id()}))
     spark = rows.sparkSession
     order = _histogram(rows, F.col("path"))
     most_rows = max(1.0, task_share * sum(x.rows for x in order))
@@ -119,10 +121,10 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40, tolerance: float = 0.01, e
         table = [(x.path, numbered[x.path], *x.probes) for x in todo]
         probes = spark.createDataFrame(table, "path long, number long, level int, lo long, step long")
         hit = rows.join(F.broadcast(probes), "path", "left")
-        path = F.when(F.col("number").isNull(), F.col("path")).otherwise(F.expr("number + (if(level = 1, k, h) - lo) div step"))
+        path = F.when(F.col("number").isNull(), F.col("path")).otherwise(F.expr("number + (element_at(array(h, k, r), level + 1) - lo) div step"))
         parts = _histogram(hit.where("number is not null"), path)
-        rows = hit.select("doc_id", "h", "k", "size", "text_crc32", path.alias("path"))
-        order = sorted([x for x in order if x.path not in numbered] + parts, key=lambda x: (x.lo, x.id_lo, x.path))
+        rows = hit.select("doc_id", "h", "k", "r", "size", "text_crc32", path.alias("path"))
+        order = sorted([x for x in order if x.path not in numbered] + parts, key=lambda x: x.place)
         todo = _open(order, shards, tolerance, most_rows)
     cuts, places, first = _splitters(order, shards, "bytes"), [], {}
     for i, x in enumerate(order):
@@ -130,7 +132,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40, tolerance: float = 0.01, e
         places.append((x.path, shard, first.get(shard, 0)))
         first[shard] = first.get(shard, 0) + x.rows
     place = F.broadcast(spark.createDataFrame(places, "path long, shard int, base long"))
-    within = Window.partitionBy("path", "shard", "base").orderBy("h", "k")
+    within = Window.partitionBy("path", "shard", "base").orderBy("h", "k", "r")
     return rows.join(place, "path").select(
         F.col("doc_id").alias(id_col),
         "size",
