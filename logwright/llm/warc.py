@@ -25,7 +25,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logwright.llm.common import checked_broadcast, durable, raw, shared_dir, slices
+from logwright.llm.common import checked_broadcast, durable, raw, shared_dir, ship, slices
 
 INDEX = "file string, offset bigint, length bigint, url string, digest string, record_type string, page_id bigint"
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -81,8 +81,10 @@ def write_archives(pages: DataFrame, folder: str | None = None, least_bytes: int
     payloads of at least ``least_bytes`` bytes are equal, the one with the
     smallest page_id is a response and the others revisit it; rows that repeat
     that page_id and payload are responses too. A null page_id always revisits
-    a page that has one. A null url leaves the target out. Archives roll at
+    a page that has one. A null url leaves the target out. An empty table gives
+    an empty index. Archives roll at
     ``roll_bytes``; each task writes its own."""
+    ship(pages.sparkSession)
     folder = folder or f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     payload = F.coalesce(raw("html"), F.lit(b""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"), F.when(F.octet_length(payload) >= least_bytes, F.sha1(payload)).alias("sha"))
@@ -133,11 +135,16 @@ def coalesced(rows: list[tuple[str, int, int]], gap: int, most: int) -> Iterator
         yield run
 
 
-def read_records(selected: DataFrame, gap: int = 64 << 10, most: int = 8 << 20, stretch: int = 64 << 20) -> DataFrame:
+def read_records(selected: DataFrame, gap: int = 64 << 10, most: int = 8 << 20, stretch: int = 8 << 20, task_bytes: int = 128 << 20) -> DataFrame:
     """(page_id, url, record_type, refers_to, payload, payload_bytes,
     payload_digest) of the records that the index rows ``selected`` name. The
     payload of a revisit is null; its size and digest are those of the full
-    payload, as the record says. A response's are computed from its bytes."""
+    payload, as the record says. A response's are computed from its bytes. A
+    task reads about ``task_bytes`` of archives, less where there are more
+    cores than that makes tasks, in stretches of files."""
+    spark = ship(selected.sparkSession)
+    total = selected.agg(F.sum("length")).first()[0] or 0
+    tasks = max(-(-total // task_bytes), min(spark.sparkContext.defaultParallelism, -(-total // stretch)), 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stores: dict[str, tuple] = {}
@@ -170,5 +177,5 @@ def read_records(selected: DataFrame, gap: int = 64 << 10, most: int = 8 << 20,
                 types = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names=["page_id", "url", "record_type", "refers_to", "payload", "payload_bytes", "payload_digest"])
 
-    dealt = selected.select("file", "offset", "length").repartition("file", F.floor(F.col("offset") / stretch)).sortWithinPartitions("file", "offset")
+    dealt = selected.select("file", "offset", "length").repartition(tasks, "file", F.floor(F.col("offset") / stretch)).sortWithinPartitions("file", "offset")
     return dealt.mapInArrow(run, "page_id bigint, url string, record_type string, refers_to bigint, payload binary, payload_bytes bigint, payload_digest string")
