@@ -64,40 +64,57 @@ def python_type(storage: Column) -> Column:
 
 
 @F.pandas_udf(T.StringType())
-def python_repr(c):  # noqa: ANN001, ANN201
-    """repr() of a cell's value; only ever applied to violations."""
+def _quoted(values):  # noqa: ANN001, ANN201
+    """repr() of texts that need more than quotes."""
+    return values.map(lambda v: None if v is None else repr(v))
 
-    def one(row):  # noqa: ANN001, ANN202
-        kind = row["storage"]
-        if kind == "integer":
-            return repr(int(row["i"]))
-        if kind == "real":
-            return repr(float(row["d"]))
-        return repr(row["s"] if kind == "text" else bytes(row["b"]) if kind == "blob" else None)
 
-    return c.apply(one, axis=1) if len(c) else c["s"]
+def python_repr(c: Column) -> Column:
+    """repr() of a cell's value. Whole numbers and plain texts take no Python;
+    reals, bytes, and texts with quotes, escapes or characters beyond ASCII are
+    written by Python itself."""
+    plain = c["s"].rlike(r"\A[\x20-\x26\x28-\x5B\x5D-\x7E]*\z")
+    text = F.when(plain, F.concat(F.lit("'"), c["s"], F.lit("'"))).otherwise(_quoted(F.when(~plain, c["s"])))
+    out = F.when(c["storage"] == "integer", c["i"].cast("string")).when(c["storage"] == "text", text)
+    return out.when(c["storage"] == "real", _quoted_real(c["d"])).when(c["storage"] == "blob", _quoted_bytes(c["b"])).otherwise("None")
 
 
-#: Id shapes in the order in which they are tried.
+@F.pandas_udf(T.StringType())
+def _quoted_real(values):  # noqa: ANN001, ANN201
+    return values.map(lambda v: repr(float(v)))
+
+
+@F.pandas_udf(T.StringType())
+def _quoted_bytes(values):  # noqa: ANN001, ANN201
+    return values.map(lambda v: None if v is None else repr(bytes(v)))
+
+
+#: Id shapes in the order in which they are tried.
 ID_SHAPES = [
-    ("email", r"^[^@\s]+@[^@\s]+\.[^@\s]+$"),
-    ("prefixed", r"^[a-zA-Z]+[-_:]\d+"),
-    ("numeric", r"^\d+$"),
-    ("human_name", r"^[A-Z][a-z]+(?: [A-Z][a-z]+)+$"),
-    ("natural_language", r"\s"),
+    ("email_like", r"(?U)^[^@\s]+@[^@\s]+\.[^@\s]+$"),
+    ("prefixed_id_like", r"(?U)^[a-zA-Z]+[-_:]\d+"),
+    ("numeric_id_like", r"(?U)^\d+$"),
+    ("human_name_like", r"^[A-Z][a-z]+(?: [A-Z][a-z]+)+$"),
+    ("natural_language_like", r" "),
+    ("opaque_token_like", r""),
 ]
+#: Shapes that carry the name of a thing.
+NAME_LIKE = ["human_name_like", "natural_language_like"]
+
+
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
 
 
 def classify_id(text: Column) -> Column:
-    trimmed, out = F.trim(text), None
-    for name, pattern in ID_SHAPES:
-        test = trimmed.rlike(pattern)
-        out = F.when(test, name) if out is None else out.when(test, name)
-    return out.otherwise("opaque")
+    """The first shape whose pattern the id has."""
+    shapes = F.array(*[F.when(stripped(text).rlike(pattern), name) for name, pattern in ID_SHAPES])
+    return F.element_at(F.array_compact(shapes), 1)
 
 
 def id_template(text: Column) -> Column:
-    return F.regexp_replace(F.trim(text), r"(?U)\d", "#")
+    return F.regexp_replace(stripped(text), r"(?U)\d", "#")
 
 
 def id_prefix(text: Column) -> Column:
@@ -119,10 +136,12 @@ def sample_order(row_id: Column, seed: Column | int) -> Column:
 
 
 def to_affinity(text: Column, affinity: str) -> Column:
-    """A proposed value in a column's affinity; null where it does not fit."""
+    """A proposed value in a column's affinity; null where it does not fit.
+    Whole numbers keep all their digits."""
     if affinity == "INTEGER":
         number = text.try_cast("double")
-        return F.when(number == F.floor(number), number.cast("long"))
+        whole = F.when((number == F.floor(number)) & (F.abs(number) < 2.0**63), number.cast("long"))
+        return F.when(text.rlike(r"^\s*[+-]?\d+\s*$"), text.try_cast("bigint")).otherwise(whole)
     if affinity == "REAL":
         return text.try_cast("double")
     return F.encode(text, "UTF-8") if affinity == "BLOB" else text

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logwright.functions.values import to_affinity
+from logwright.functions.values import blank, to_affinity
 from logwright.log import RESERVED, Log
 from logwright.operators import repair
 from logwright.session import durable
@@ -153,8 +153,10 @@ def _without(df: DataFrame, actions: DataFrame, names: list[str]) -> DataFrame:
 
 
 def _keep_first(df: DataFrame, actions: DataFrame, names: list[str]) -> DataFrame:
-    """The rows that no key names, and the first of those that each does."""
-    first = df.join(_keys(actions, names), _same(names), "left_semi").groupBy(*names).agg(F.min("row_id").alias("__first"))
+    """The rows that no key names, and the first of those that each does, of
+    which those with a type come first."""
+    untyped = blank(F.col("ocel_type")) if "ocel_type" in df.columns else F.lit(False)
+    first = df.join(_keys(actions, names), _same(names), "left_semi").groupBy(*names).agg(F.min(F.struct(untyped.alias("u"), "row_id"))["row_id"].alias("__first"))
     first = first.select(*[F.col(f"`{c}`").cast("string").alias(f"__{c}") for c in names], "__first")
     return df.join(first, _same(names), "left").where("__first is null or row_id = __first").select(*df.columns)
 

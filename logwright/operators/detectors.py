@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logwright.functions.values import as_text, blank, is_missing, matches_declared, python_repr, python_type
-from logwright.log import Log
+from logwright.log import Log, TypeTable
 
 
 def _out(df: DataFrame, issue: str, **columns: Column | str) -> DataFrame:
@@ -61,14 +61,28 @@ def duplicate_events_on_ids(log: Log) -> DataFrame:
     return _repeated_ids(log.event, "duplicate_events_on_ids")
 
 
+def _number(c: Column) -> Column:
+    """A cell's number as text, alike for an integer and a whole real."""
+    whole = (c["d"] == F.floor(c["d"])) & (F.abs(c["d"]) < 2.0**63)
+    return F.coalesce(c["i"].cast("string"), F.when(whole, c["d"].cast("long").cast("string")).otherwise(c["d"].cast("string")))
+
+
+def _attribute_keys(t: TypeTable) -> list[Column]:
+    """What rows of a type are compared by; a cell's numbers compare by value,
+    whatever their storage."""
+    kinds, out = dict(t.df.dtypes), []
+    for i, a in enumerate(t.attributes):
+        c = F.col(f"`{a}`")
+        out += [_number(c).alias(f"k{i}n"), c["s"].alias(f"k{i}s"), c["b"].alias(f"k{i}b")] if kinds[a].startswith("struct") else [c.alias(f"k{i}")]
+    return out
+
+
 def _same_attributes(log: Log, kind: str, issue: str, distinct_ids: bool) -> DataFrame:
     parts = []
     for t in log.tables(kind):
         if not t.attributes:
             continue
-        # a cell's numbers compare by value, whatever their storage
-        keys = [(F.coalesce(F.col(f"`{a}`.i").cast("double"), F.col(f"`{a}`.d")).cast("string").alias(f"k{i}n"), F.col(f"`{a}`.s").alias(f"k{i}s"), F.col(f"`{a}`.b").alias(f"k{i}b")) if dict(t.df.dtypes)[a].startswith("struct") else (F.col(f"`{a}`").alias(f"k{i}"),) for i, a in enumerate(t.attributes)]
-        flat = [c for group in keys for c in group]
+        flat = _attribute_keys(t)
         members = F.transform(F.array_sort(F.collect_list(F.struct("row_id", "ocel_id"))), lambda x: F.coalesce(x["ocel_id"], F.lit("None")))
         if distinct_ids:
             members = F.array_distinct(members)
@@ -172,15 +186,20 @@ def qualifier_types(log: Log) -> DataFrame:
     return log.spark.createDataFrame(list(forms.items()), "qualifier string, q_type string")
 
 
+def _prefix_type(log: Log) -> Column:
+    """The first type of the map that the object's id has as a prefix."""
+    prefix = F.lit(None).cast("string")
+    for t in reversed(log.object_tables):
+        prefix = F.when(F.col("ocel_object_id").startswith(f"{t.ocel_type}:"), t.ocel_type).otherwise(prefix)
+    return prefix
+
+
 def missing_object(log: Log) -> DataFrame:
     """Relations of an unknown object whose type can be told: by the first
     type of the map that the id has as a prefix, else by the qualifier."""
     there = log.object.select(F.col("ocel_id").alias("ocel_object_id")).where("ocel_object_id is not null").distinct()
     gone = log.e2o.where("ocel_object_id is not null").join(there, "ocel_object_id", "left_anti")
-    prefix = F.lit(None).cast("string")
-    for t in reversed(log.object_tables):
-        prefix = F.when(F.col("ocel_object_id").startswith(f"{t.ocel_type}:"), t.ocel_type).otherwise(prefix)
-    told = gone.withColumn("p_type", prefix).join(F.broadcast(qualifier_types(log)), F.col("ocel_qualifier") == F.col("qualifier"), "left")
+    told = gone.withColumn("p_type", _prefix_type(log)).join(F.broadcast(qualifier_types(log)), F.col("ocel_qualifier") == F.col("qualifier"), "left")
     told = told.withColumn("inferred", F.coalesce("p_type", "q_type")).where("inferred is not null")
     return _out(told, "missing_object", ocel_object_id="ocel_object_id", inferred_type_from_prefix="inferred", ocel_event_id="ocel_event_id", ocel_qualifier="ocel_qualifier")
 
@@ -214,9 +233,41 @@ def detect_all(log: Log) -> dict[str, DataFrame]:
     return {name: detector(log) for name, detector in DETECTORS.items()}
 
 
+def _sums(df: DataFrame, **issues: Column) -> DataFrame:
+    """(issue, n): how many rows hold each condition, in one pass."""
+    return _rows(df.agg(*[F.count_if(F.coalesce(c, F.lit(False))).alias(n) for n, c in issues.items()]))
+
+
+def _rows(one: DataFrame) -> DataFrame:
+    """(issue, n): a row for each column of the only row."""
+    return one.select(F.inline(F.array(*[F.struct(F.lit(n).alias("issue"), F.col(n).alias("n")) for n in one.columns])))
+
+
 def issue_counts(log: Log) -> DataFrame:
-    """(issue, n) for all detectors, in one job."""
-    parts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("issue"), "n") for name, df in detect_all(log).items()]
+    """(issue, n) for all detectors, in one job. Detectors that read the same
+    table share one pass over it, one grouping, or one join."""
+    parts, cell, n = [], F.col("cell"), F.col("n")
+    for kind, prefix in (("object", ""), ("event", "event_")):
+        ids = getattr(log, kind).groupBy("ocel_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(blank(F.col("ocel_type"))).alias("untyped"))
+        parts.append(_rows(ids.agg(F.count_if(n > 1).alias(f"duplicate_{kind}s_on_ids"), F.coalesce(F.sum("untyped"), F.lit(0)).alias(f"missing_{kind}_type"))))
+        wrong = ~is_missing(cell) & ~matches_declared(cell["storage"], F.col("declared"))
+        parts.append(_sums(log.cells(kind), **{f"missing_{prefix}attribute_value": F.col("is_initial") & is_missing(cell), f"incorrect_{prefix}attribute_datatype": wrong}))
+        same = [t.df.groupBy(*_attribute_keys(t)).agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(n > 1).alias("n")) for t in log.tables(kind) if t.attributes]
+        none = log.spark.createDataFrame([(0,)], "n long")
+        parts.append(reduce(DataFrame.unionAll, same, none).agg(F.sum("n").alias("n")).select(F.lit(f"duplicate_{kind}s_on_attributes").alias("issue"), "n"))
+    triples = log.o2o.groupBy("ocel_source_id", "ocel_target_id", "ocel_qualifier").agg(F.count(F.lit(1)).alias("n"))
+    loops = F.coalesce(F.sum(F.when(F.col("ocel_source_id") == F.col("ocel_target_id"), n)), F.lit(0))
+    parts.append(_rows(triples.agg(F.count_if(n > 1).alias("duplicate_o2o_relations"), loops.alias("o2o_self_loop"))))
+    parts.append(_sums(log.e2o.groupBy("ocel_event_id", "ocel_object_id", "ocel_qualifier").agg(F.count(F.lit(1)).alias("n")), duplicate_e2o_relations=n > 1))
+    objects = known(log.object, "b").select("b_id", "b_known")
+    ends = log.o2o.join(objects.select(F.col("b_id").alias("a_id"), F.col("b_known").alias("a_known")), F.col("ocel_source_id") == F.col("a_id"), "left").join(objects, F.col("ocel_target_id") == F.col("b_id"), "left")
+    gone_a, gone_b = F.col("a_known").isNull(), F.col("b_known").isNull()
+    parts.append(_sums(ends, dangling_o2o_relationship=gone_a | gone_b))
+    ends = log.e2o.join(known(log.event, "a").select("a_id", "a_known"), F.col("ocel_event_id") == F.col("a_id"), "left").join(objects, F.col("ocel_object_id") == F.col("b_id"), "left")
+    told = ends.join(F.broadcast(qualifier_types(log)), F.col("ocel_qualifier") == F.col("qualifier"), "left")
+    typed = F.coalesce(_prefix_type(log), F.col("q_type")).isNotNull()
+    parts.append(_sums(told, dangling_e2o_relationship=gone_a | gone_b, missing_event=gone_a & F.col("ocel_event_id").isNotNull(), missing_object=gone_b & F.col("ocel_object_id").isNotNull() & typed))
+    parts.append(_sums(log.event_times(), missing_event_timestamp=blank(F.col("ocel_time"))))
     return reduce(DataFrame.unionAll, parts)
 
 

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logwright.functions.values import as_text, classify_id, id_template
+from logwright.functions.values import NAME_LIKE, as_text, classify_id, id_template
 from logwright.log import Log
 
 
@@ -79,7 +79,7 @@ def id_templates(log: Log, kind: str = "object", most: int = 3) -> DataFrame:
 
 def name_like_types(log: Log, kind: str = "object", least: float = 0.5) -> DataFrame:
     """(ocel_type, name_like): whether names or prose make up half the ids."""
-    named = F.sum(F.when(F.col("shape").isin("human_name", "natural_language"), F.col("n")).otherwise(0))
+    named = F.sum(F.when(F.col("shape").isin(NAME_LIKE), F.col("n")).otherwise(0))
     return id_buckets(log, kind).groupBy("ocel_type").agg((named >= least * F.sum("n")).alias("name_like"))
 
 

@@ -13,6 +13,7 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from logwright.functions.values import blank, to_affinity
 from logwright.log import RESERVED, Log
@@ -110,10 +111,12 @@ def _number(value: object) -> float | None:
 
 
 def keep_first(log: Log, table: str, key: dict) -> Log:
-    """Of the rows with the key only that with the least row_id stays."""
+    """Of the rows with the key only that with the least row_id stays, of those
+    with a type if there are such."""
     df = frame(log, table)
     hit = _matches(df, key)
-    first = df.where(hit).agg(F.min("row_id").alias("__first"))
+    untyped = blank(F.col("ocel_type")) if "ocel_type" in df.columns else F.lit(False)
+    first = df.where(hit).agg(F.min(F.struct(untyped.alias("u"), "row_id"))["row_id"].alias("__first"))
     return with_frame(log, table, df.join(F.broadcast(first), F.lit(True), "left").where(~hit | F.col("row_id").eqNullSafe(F.col("__first"))).drop("__first"))
 
 
@@ -213,10 +216,20 @@ def midpoint_times(log: Log) -> DataFrame:
     """(ocel_id, proposed): for events without a time, the middle between the
     earliest and the latest time of their neighbours."""
     gone = log.event_times().where(blank(F.col("ocel_time"))).select("ocel_id").distinct()
-    near = sampling.neighbours(log, gone).select("anchor", "neighbour").distinct().join(sampling.event_time(log).withColumnRenamed("ocel_id", "neighbour"), "neighbour")
-    at = F.unix_timestamp(F.try_to_timestamp("ocel_time"))
+    at = F.unix_timestamp(F.try_to_timestamp("ocel_time")).alias("at")
+    known = log.event.select("ocel_id").where("ocel_id is not null").distinct()
+    times = sampling.event_time(log).join(known, "ocel_id").select(F.col("ocel_id").alias("ocel_event_id"), at)
+    pairs = log.e2o.select("ocel_event_id", "ocel_object_id").distinct()
+    timed = pairs.join(times, "ocel_event_id").where("at is not null")
+    anchors = gone.withColumnRenamed("ocel_id", "anchor")
+    own = pairs.withColumnRenamed("ocel_event_id", "anchor").join(anchors, "anchor")
+    # an object's span is found once, over events that are no anchors; few anchors have a time elsewhere
+    spans = timed.join(anchors, F.col("ocel_event_id") == F.col("anchor"), "left_anti").groupBy("ocel_object_id").agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
+    others = timed.join(anchors, F.col("ocel_event_id") == F.col("anchor"), "left_semi")
+    near = own.join(spans, "ocel_object_id").select("anchor", "lo", "hi")
+    near = near.unionByName(own.join(others, "ocel_object_id").where("anchor <> ocel_event_id").select("anchor", F.col("at").alias("lo"), F.col("at").alias("hi")))
     middle = F.expr("(lo + hi) div 2")
-    spans = near.groupBy("anchor").agg(F.min(at).alias("lo"), F.max(at).alias("hi")).where("lo is not null")
+    spans = near.groupBy("anchor").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     return spans.select(F.col("anchor").alias("ocel_id"), F.date_format(F.timestamp_seconds(middle), "yyyy-MM-dd HH:mm:ss").alias("proposed"))
 
 
@@ -240,6 +253,12 @@ def _set_type(kind: str) -> Callable[[dict, dict], Action]:
 
 def _set_cell(kind: str) -> Callable[[dict, dict], Action]:
     def act(row: dict, said: dict) -> Action:
+        if "ocel_id" not in row or not row.get("attribute"):
+            # a group of rows, of which the resolver has to name one and an attribute
+            picked = {k: said[k] for k in ("ocel_id", "attribute") if said.get(k)}
+            if len(picked) < 2:
+                return Action("noop", reason="no row and attribute of the group")
+            row = row | picked
         table = row.get("target_table") or f"{kind}_{row[f'{kind}_type']}"
         if said.get("value") is None or str(said["value"]) == str(row.get("actual_value")):
             return Action("noop", table, {"ocel_id": row["ocel_id"]}, row.get("attribute", ""), reason="no other value")
@@ -351,13 +370,28 @@ def peer_mode(log: Log, ocel_type: str, attribute: str, kind: str = "object") ->
 
 def resolve_with(context: DataFrame, resolver: Callable, schema: str) -> DataFrame:
     """Proposals of a resolver, such as a client of a language model, for
-    batches of contexts (pandas in, pandas out). An error stays in its row."""
+    batches of contexts (pandas in, pandas out), and error. Where a batch
+    fails its rows are tried one by one; an error stays in its row, beside
+    what the context and ``schema`` have in common."""
+    names = StructType.fromDDL(schema).names
 
     def run(frames):  # noqa: ANN001, ANN202
-        for pdf in frames:
-            yield resolver(pdf)
+        import pandas as pd
 
-    return context.mapInPandas(run, schema)
+        for pdf in frames:
+            try:
+                yield resolver(pdf)[names].assign(error=None)
+                continue
+            except Exception:  # noqa: BLE001, S110
+                pass
+            for row in pdf.to_dict("records"):
+                one = pd.DataFrame([row])
+                try:
+                    yield resolver(one)[names].assign(error=None)
+                except Exception as error:  # noqa: BLE001
+                    yield pd.DataFrame([{n: row.get(n) for n in names} | {"error": f"{type(error).__name__}: {error}"}])
+
+    return context.mapInPandas(run, f"{schema}, error string")
 
 
 def fan_out(proposals: DataFrame, column: str = "suggestions") -> DataFrame:

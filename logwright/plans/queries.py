@@ -133,20 +133,23 @@ _query(
  SELECT * FROM i QUALIFY row_number() OVER (PARTITION BY qualifier, ocel_type ORDER BY object_id) <= 50""",
 )
 _IDS = "( SELECT DISTINCT ocel_type, ocel_id FROM object WHERE ocel_id IS NOT NULL AND ocel_type IS NOT NULL )"
-_query("a09_id_buckets", profile.id_buckets, f" SELECT ocel_type, CASE WHEN regexp_matches(ocel_id, '^[a-zA-Z]+[-_:][0-9]+') THEN 'prefixed' ELSE 'opaque' END AS shape, count(*) AS n FROM {_IDS} GROUP BY 1, 2")
-_query("a09_id_examples", profile.id_examples, f" SELECT ocel_type, 'prefixed' AS shape, ocel_id AS example FROM {_IDS} QUALIFY row_number() OVER (PARTITION BY ocel_type ORDER BY ocel_id) <= 8")
+_query("a09_id_buckets", profile.id_buckets, f" SELECT ocel_type, CASE WHEN regexp_matches(ocel_id, '^[a-zA-Z]+[-_:][0-9]+') THEN 'prefixed_id_like' ELSE 'opaque_token_like' END AS shape, count(*) AS n FROM {_IDS} GROUP BY 1, 2")
+_query("a09_id_examples", profile.id_examples, f" SELECT ocel_type, 'prefixed_id_like' AS shape, ocel_id AS example FROM {_IDS} QUALIFY row_number() OVER (PARTITION BY ocel_type ORDER BY ocel_id) <= 8")
 _query("a10_id_templates", profile.id_templates, f", t AS ( SELECT ocel_type, regexp_replace(ocel_id, '[0-9]', '#', 'g') AS template, count(*) AS n FROM {_IDS} GROUP BY 1, 2 ) SELECT ocel_type, template, n, CAST(sum(n) OVER (PARTITION BY ocel_type) AS bigint) AS total FROM t QUALIFY row_number() OVER (PARTITION BY ocel_type ORDER BY n DESC, template) <= 3")
 _query(
     "e1_column_profile",
-    lambda log: profile.column_profile(log, "object").where("ocel_type = 'customers'"),
-    " SELECT 'customers' AS ocel_type, a AS attribute, count(*) AS n, count(*) FILTER (WHERE v IS NULL) AS n_null FROM ( SELECT 'name' AS a, name AS v FROM customers UNION ALL SELECT 'acctbal', CAST(acctbal AS varchar) FROM customers UNION ALL SELECT 'segment', segment FROM customers ) AS c GROUP BY a",
+    lambda log: profile.column_profile(log, "object"),
+    " SELECT t AS ocel_type, a AS attribute, count(*) AS n, count(*) FILTER (WHERE v IS NULL) AS n_null FROM ( SELECT 'customers' AS t, 'name' AS a, name AS v FROM customers UNION ALL SELECT 'customers', 'acctbal', CAST(acctbal AS varchar) FROM customers UNION ALL SELECT 'customers', 'segment', segment FROM customers"
+    " UNION ALL SELECT 'orders', 'status', status FROM orders_t UNION ALL SELECT 'orders', 'price', coalesce(price_text, CAST(price_number AS varchar)) FROM orders_t UNION ALL SELECT 'orders', 'priority', priority FROM orders_t"
+    " UNION ALL SELECT 'products', 'name', name FROM products UNION ALL SELECT 'products', 'brand', brand FROM products UNION ALL SELECT 'products', 'kind', kind FROM products UNION ALL SELECT 'products', 'size', CAST(size AS varchar) FROM products ) AS c GROUP BY t, a",
 )
 _query(
     "e1_column_samples",
-    lambda log: profile.column_samples(log, "object").where("attribute in ('segment', 'brand', 'status')").select("ocel_type", "attribute", F.array_join("samples", "|").alias("samples"), "is_vocabulary"),
-    """, v AS ( SELECT DISTINCT 'customers' AS ocel_type, 'segment' AS attribute, segment AS value FROM customers WHERE segment IS NOT NULL UNION SELECT 'products', 'brand', brand FROM products WHERE brand IS NOT NULL UNION SELECT 'orders', 'status', status FROM orders_t WHERE status IS NOT NULL ),
- f AS ( SELECT *, row_number() OVER (PARTITION BY attribute ORDER BY value) AS k FROM v )
- SELECT ocel_type, attribute, string_agg(value, '|' ORDER BY k) AS samples, max(k) <= 10 AS is_vocabulary FROM f WHERE k <= 15 GROUP BY 1, 2""",
+    lambda log: profile.column_samples(log, "object").where("attribute not in ('acctbal', 'price')").select("ocel_type", "attribute", F.array_join("samples", "|").alias("samples"), "is_vocabulary"),
+    """, v AS ( SELECT DISTINCT 'customers' AS ocel_type, 'segment' AS attribute, segment AS value FROM customers WHERE segment IS NOT NULL UNION SELECT 'customers', 'name', name FROM customers WHERE name IS NOT NULL UNION SELECT 'products', 'brand', brand FROM products WHERE brand IS NOT NULL UNION SELECT 'products', 'name', name FROM products WHERE name IS NOT NULL
+ UNION SELECT 'products', 'kind', kind FROM products WHERE kind IS NOT NULL UNION SELECT 'products', 'size', CAST(size AS varchar) FROM products WHERE size IS NOT NULL UNION SELECT 'orders', 'status', status FROM orders_t WHERE status IS NOT NULL UNION SELECT 'orders', 'priority', priority FROM orders_t WHERE priority IS NOT NULL ),
+ f AS ( SELECT *, row_number() OVER (PARTITION BY ocel_type, attribute ORDER BY value) AS k FROM v )
+ SELECT ocel_type, attribute, string_agg(value, '|' ORDER BY k) AS samples, max(k) <= 10 AND attribute <> 'size' AS is_vocabulary FROM f WHERE k <= 15 GROUP BY 1, 2""",
 )
 
 # samples and context
@@ -168,12 +171,13 @@ _query(
  p AS ( SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY CASE WHEN has AND nth <= 2 THEN 0 ELSE 1 END, pos) AS place FROM s )
  SELECT anchor, peer_id, place FROM p WHERE place <= 5""",
 )
-_NEAR = ", anchors AS ( SELECT DISTINCT ocel_id AS anchor FROM event WHERE ocel_id LIKE 'place-%77' ), near AS ( SELECT DISTINCT a.ocel_event_id AS anchor, b.ocel_event_id AS neighbour FROM e2o AS a JOIN e2o AS b USING (ocel_object_id) WHERE a.ocel_event_id IN ( SELECT anchor FROM anchors ) AND a.ocel_event_id <> b.ocel_event_id )"
+_NEAR = ", anchors AS ( SELECT DISTINCT ocel_id AS anchor FROM event WHERE ocel_type IS NULL OR trim(ocel_type) = '' ), near AS ( SELECT DISTINCT a.ocel_event_id AS anchor, b.ocel_event_id AS neighbour FROM e2o AS a JOIN e2o AS b USING (ocel_object_id) WHERE a.ocel_event_id IN ( SELECT anchor FROM anchors ) AND a.ocel_event_id <> b.ocel_event_id )"
 _TIMES = ", t0 AS ( SELECT 0 AS o, row_id, ocel_id, ocel_time FROM place UNION ALL SELECT 1, row_id, ocel_id, ocel_time FROM ship UNION ALL SELECT 2, row_id, ocel_id, ocel_time FROM click ), times AS ( SELECT ocel_id, ocel_time FROM t0 WHERE ocel_time <> '' QUALIFY row_number() OVER (PARTITION BY ocel_id ORDER BY o, row_id DESC, ocel_time) = 1 )"
 
 
 def _anchors(log: Log) -> DataFrame:
-    return log.event.where("ocel_id like 'place-%77'")
+    """Events that a detector flags."""
+    return detectors.missing_event_type(log)
 
 
 _query("j12_neighbor_events", lambda log: sampling.neighbours(log, _anchors(log)), _NEAR + " SELECT DISTINCT anchor, neighbour, ocel_type FROM near JOIN event ON neighbour = ocel_id")
@@ -187,9 +191,9 @@ _query(
  d AS ( SELECT *, CASE side WHEN 0 THEN row_number() OVER (PARTITION BY anchor, side ORDER BY ocel_time DESC, neighbour DESC) WHEN 1 THEN row_number() OVER (PARTITION BY anchor, side ORDER BY ocel_time, neighbour) END AS close FROM s )
  SELECT anchor, neighbour, ocel_time FROM d QUALIFY every <= 10 OR row_number() OVER (PARTITION BY anchor ORDER BY CASE WHEN close <= 5 THEN 0 ELSE 1 END, k) <= 10""",
 )
-_query("j11_event_objects", lambda log: sampling.event_objects(log, _anchors(log)), ", o AS ( SELECT ocel_id, min(ocel_type) AS ocel_type FROM object GROUP BY 1 ) SELECT ocel_event_id, ocel_object_id, ocel_qualifier, ocel_type, row_number() OVER (PARTITION BY ocel_event_id ORDER BY row_id, ocel_object_id, ocel_qualifier) AS place FROM e2o LEFT JOIN o ON ocel_object_id = o.ocel_id WHERE ocel_event_id IN ( SELECT ocel_id FROM event WHERE ocel_id LIKE 'place-%77' ) QUALIFY place <= 8")
-_query("j13_event_times", lambda log: sampling.event_time(log).where("ocel_id like 'place-%'"), _TIMES + " SELECT ocel_id, ocel_time FROM times WHERE ocel_id LIKE 'place-%'")
-_query("j14_object_events", lambda log: sampling.object_events(log, log.object.where("ocel_id like 'c-%7'")), ", v AS ( SELECT ocel_id, min(ocel_type) AS ocel_type FROM event GROUP BY 1 ) SELECT ocel_object_id, ocel_event_id, ocel_type, row_number() OVER (PARTITION BY ocel_object_id ORDER BY row_id, ocel_event_id) AS place FROM e2o JOIN v ON ocel_event_id = v.ocel_id WHERE ocel_object_id IN ( SELECT ocel_id FROM object WHERE ocel_id LIKE 'c-%7' ) QUALIFY place <= 8")
+_query("j11_event_objects", lambda log: sampling.event_objects(log, log.event), ", o AS ( SELECT ocel_id, min(ocel_type) AS ocel_type FROM object GROUP BY 1 ) SELECT ocel_event_id, ocel_object_id, ocel_qualifier, ocel_type, row_number() OVER (PARTITION BY ocel_event_id ORDER BY row_id, ocel_object_id, ocel_qualifier) AS place FROM e2o LEFT JOIN o ON ocel_object_id = o.ocel_id WHERE ocel_event_id IN ( SELECT ocel_id FROM event ) QUALIFY place <= 8")
+_query("j13_event_times", lambda log: sampling.event_time(log), _TIMES + " SELECT ocel_id, ocel_time FROM times")
+_query("j14_object_events", lambda log: sampling.object_events(log, log.object), ", v AS ( SELECT ocel_id, min(ocel_type) AS ocel_type FROM event GROUP BY 1 ) SELECT ocel_object_id, ocel_event_id, ocel_type, row_number() OVER (PARTITION BY ocel_object_id ORDER BY row_id, ocel_event_id) AS place FROM e2o JOIN v ON ocel_event_id = v.ocel_id WHERE ocel_object_id IN ( SELECT ocel_id FROM object ) QUALIFY place <= 8")
 _query("j18_events_with_neighbor", sampling.events_with_neighbour, ", s AS ( SELECT ocel_object_id FROM e2o GROUP BY 1 HAVING count(DISTINCT ocel_event_id) > 1 ) SELECT DISTINCT ocel_event_id FROM e2o WHERE ocel_object_id IN ( SELECT ocel_object_id FROM s )")
 _POOL = " FROM ( SELECT ocel_id, min(row_id) AS row_id, min(ocel_type) AS ocel_type FROM object WHERE ocel_id IS NOT NULL GROUP BY 1 ) AS p"
 _query("w5_candidate_pool", lambda log: sampling.candidate_pool(log.object, "c-97", "customer"), f", q AS ( SELECT ocel_id, 0 AS strand, row_number() OVER (ORDER BY (row_id % 2147483647 * 2654435761 + {_SEED.format(chr(39) + 'c-97' + chr(39))}) % 2147483647, row_id) AS place{_POOL} WHERE ocel_type = 'customers' ) SELECT * FROM q WHERE place <= 50")

@@ -240,7 +240,7 @@ _query(
 )
 _query("e2_name_like_types", lambda log: profile.name_like_types(log), oracle(" SELECT DISTINCT ocel_type, false AS name_like FROM object WHERE ocel_type IS NOT NULL"))
 _query("w7_id_prefixes", lambda log: log.e2o.groupBy(values.id_prefix(F.col("ocel_event_id")).alias("prefix")).agg(F.count(F.lit(1)).alias("n")), oracle(" SELECT left(string_split(ocel_event_id, '-')[1], 8) AS prefix, count(*) AS n FROM e2o GROUP BY 1"))
-_query("j15_first_event_rows", lambda log: sampling.event_time(log, skip_blank=False).where("ocel_id like 'place-%'"), oracle(" SELECT ocel_id, ocel_time FROM place"))
+_query("j15_first_event_rows", lambda log: sampling.event_time(log, skip_blank=False), oracle(" SELECT ocel_id, ocel_time FROM (SELECT 0 AS o, row_id, ocel_id, ocel_time FROM place UNION ALL SELECT 1, row_id, ocel_id, ocel_time FROM ship UNION ALL SELECT 2, row_id, ocel_id, ocel_time FROM click) AS t QUALIFY row_number() OVER (PARTITION BY ocel_id ORDER BY o, row_id DESC, ocel_time) = 1"))
 
 
 def _coerced(log: Log) -> DataFrame:

@@ -187,7 +187,7 @@ def test_declared_types(spark):
 
 
 def test_id_shapes(spark):
-    rows = [("a@b.de", "email"), ("o-99x", "prefixed"), ("123", "numeric"), ("Ada Nowak", "human_name"), ("echo show 5", "natural_language"), ("q7f", "opaque")]
+    rows = [("a@b.de", "email_like"), ("o-99x", "prefixed_id_like"), (" \t12\n", "numeric_id_like"), ("\u0661\u0662", "numeric_id_like"), ("Ada Nowak", "human_name_like"), ("echo show 5", "natural_language_like"), ("ab\tcd", "opaque_token_like"), ("q7f", "opaque_token_like")]
     df = spark.createDataFrame(rows, "i string, want string")
     assert df.where(values.classify_id(F.col("i")) != F.col("want")).count() == 0
 
@@ -316,3 +316,65 @@ def test_repeats_meet_across_window_boundaries(spark, tmp_path):
     query.stop()
     for got in (spark.table("repeated"), relations.repeated(frame, "at")):
         assert [(r["ocel_event_id"], r["ocel_object_id"], r["count"]) for r in got.collect()] == [("e", "o", 2)]
+
+
+def test_whole_numbers_keep_their_digits(spark):
+    rows = spark.createDataFrame([("9007199254740993",), ("12.0",), ("12.5",), (" 7 ",), ("9e30",)], "t string")
+    assert [r[0] for r in rows.select(values.to_affinity(F.col("t"), "INTEGER")).collect()] == [9007199254740993, 12, None, 7, None]
+
+
+def test_cells_with_large_integers_are_not_alike(spark):
+    from logwright.log import Log, TypeTable
+
+    row = lambda i, n, d: (i, f"a{i}", None, None, ("real" if n is None else "integer", n, d, None, None))
+    cells = spark.createDataFrame([row(1, 2**53, None), row(2, 2**53 + 1, None), row(3, 5, None), row(4, None, 5.0)], f"row_id long, ocel_id string, ocel_time string, ocel_changed_field string, v {values.CELL}")
+    none = spark.createDataFrame([], "row_id long, ocel_id string, ocel_type string")
+    log = Log(spark, none, none, none, none, (TypeTable("a", "object_A", cells, {"v": "INTEGER"}),))
+    assert [r["ocel_ids"] for r in detectors.duplicate_objects_on_attributes(log).collect()] == ["a3, a4"]
+
+
+def test_reprs_are_those_of_python(spark):
+    cells = [("integer", 5, None, None, None), ("real", None, 1e22, None, None), ("real", None, 0.1, None, None), ("text", None, None, "it's", None), ("text", None, None, "a\\b\n", None), ("text", None, None, "plain", None), ("text", None, None, "\u00e9", None), ("blob", None, None, None, bytearray(b"\x00x")), (None, None, None, None, None)]
+    got = [r[0] for r in spark.createDataFrame([(c,) for c in cells], f"c {values.CELL}").select(values.python_repr(F.col("c"))).collect()]
+    assert got == ["5", "1e+22", "0.1", '"it\'s"', "'a\\\\b\\n'", "'plain'", "'\u00e9'", "b'\\x00x'", "None"]
+
+
+def test_an_error_of_a_resolver_stays_in_its_row(spark):
+    def resolver(pdf):
+        if (pdf["ocel_id"] == "b").any():
+            raise ValueError("no")
+        return pdf.assign(value="x")
+
+    rows = spark.createDataFrame([("a",), ("b",), ("c",)], "ocel_id string").coalesce(1)
+    said = {r["ocel_id"]: (r["value"], r["error"]) for r in repair.resolve_with(rows, resolver, "ocel_id string, value string").collect()}
+    assert said == {"a": ("x", None), "b": (None, "ValueError: no"), "c": ("x", None)}
+
+
+def test_groups_of_equal_rows_need_one_to_be_named():
+    row = {"object_type": "a", "ocel_ids": "a3, a4", "duplicate_count": "2", "attribute_values": "{}"}
+    assert repair.act_on("duplicate_objects_on_attributes", row, {"value": "x", "confidence": 1.0}).kind == "noop"
+    done = repair.act_on("duplicate_objects_on_attributes", row, {"value": "x", "confidence": 1.0, "ocel_id": "a3", "attribute": "v"})
+    assert (done.kind, done.key, done.column) == ("update", {"ocel_id": "a3"}, "v")
+
+
+def test_a_guide_is_checked_and_never_lost(spark, tmp_path):
+    from logwright.operators import guide
+    from logwright.plans.bridge import load
+
+    found = {"fingerprint": "f", "types": {"object": {"a": 1, "b": 2}, "event": {}}, "columns": {"object/a/v": {}}, "qualifiers": [{"qualifier": "q"}]}
+    said = {"domain": {"process": " sales "}, "qualifiers": {"q": "has", "z": "invented"}, "type a": {"represents": "x", "attributes": {"v": {"meaning": 3, "value_source": "events"}, "w": {}}}}
+    made = guide.build_guide(found, lambda name, facts: said.get(name, {}))
+    assert made["domain"] == {"process": "sales"} and made["qualifiers"] == {"q": "has"} and len(made["warnings"]) == 2
+    assert made["types"]["a"]["attributes"]["v"] == {"meaning": "", "value_source": "events", "null_expected": False, "repair_hint": ""}
+    assert guide.all_types(found, {"types": {"c": {}}}) == ["a", "b", "c"]
+
+    def broken(name, facts):
+        raise OSError("down")
+
+    failed = guide.build_guide(found, broken)
+    assert not guide.has_content(failed) and len(failed["warnings"]) == 3 and "stopped" in failed["warnings"][-1]
+    log = load(spark, "/root/testdata/sf0.001")
+    guide.explore(log, str(tmp_path), lambda name, facts: {"process": "p"} if name == "domain" else {})
+    with pytest.raises(RuntimeError):
+        guide.explore(log, str(tmp_path), broken)
+    assert guide.load(str(tmp_path))["domain"] == {"process": "p"} and "columns" in guide.fresh_hints(log, str(tmp_path), "customers")

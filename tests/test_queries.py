@@ -5,9 +5,9 @@ from __future__ import annotations
 import duckdb
 import pytest
 
-from logwright.plans import queries, repair_queries
+from logwright.plans import context_queries, queries, repair_queries
 
-QUERIES, ORACLES = queries.QUERIES | repair_queries.QUERIES, queries.ORACLES | repair_queries.ORACLES
+QUERIES, ORACLES = queries.QUERIES | repair_queries.QUERIES | context_queries.QUERIES, queries.ORACLES | repair_queries.ORACLES | context_queries.ORACLES
 
 
 @pytest.fixture(scope="module")
