@@ -4,6 +4,7 @@ components, prefix sums and byte-bounded Arrow batches."""
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Iterator
 from contextlib import suppress
 
@@ -40,6 +41,14 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go now of the shuffle files and kept results that no plan names any
+    more: executors delete them when the driver collects its garbage, which may
+    be long after."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that ``column`` holds at most ``most_bytes`` in each,
     or a single row."""

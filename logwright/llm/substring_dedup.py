@@ -4,9 +4,13 @@ Level one looks at windows of half the length. Of every run of them that makes
 up one full window, the one with the smallest hash stands for it: equal full
 windows have the same one. Only those are counted, across all documents, and
 only full windows whose half is held by two documents go on to the next level,
-where their own hashes are counted. What is repeated at the full length is
-removed from all documents but the one with the smallest doc_id; longer levels
-cannot change which words repeated windows cover, so doubling ends there.
+where their own hashes are counted. From there on windows that are repeated
+are extended: two that follow one another make a candidate of twice the length,
+and the candidates held by two documents go on, until none survive.
+
+What is repeated at the full length is removed from all documents but the one
+with the smallest doc_id. Longer levels cannot change which words that covers;
+they tell how long the repeated passages are.
 
 Documents with the same word sequence take part once, through the smallest
 doc_id; the others go whole. Tables that grow with the input are broadcast
@@ -16,6 +20,7 @@ only behind a check of their size; beyond it joins are shuffled.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import chain
 
 import numpy as np
@@ -24,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logwright.llm.common import checked_broadcast, durable, raw, slices
+from logwright.llm.common import checked_broadcast, durable, raw, release, ship, slices
 
 _B = 0x9E3779B97F4A7C15
 _NULL_ID = -(1 << 63)
@@ -141,10 +146,48 @@ def _candidates(texts: DataFrame, length: int, counted: bool) -> DataFrame:
     return texts.mapInArrow(run, "g bigint, lo bigint, hi bigint" if counted else "g bigint, id bigint, t int, start int")
 
 
+def _repeated(windows: DataFrame, twice: DataFrame) -> DataFrame:
+    """Of ``windows`` (g, id, t, start), those whose g is in ``twice`` (g, lo);
+    later: if their doc_id is not the smallest that has them."""
+    # dealt anew, so that the join's two sides are shuffles that can be split where a passage is frequent
+    return windows.join(twice.repartition("g", "lo"), "g").select("id", "t", "start", "g", (F.col("id") > F.col("lo")).alias("later"))
+
+
+def _packed(windows: DataFrame) -> DataFrame:
+    """(id, t, w): the windows of each text, by start; kept."""
+    return durable(windows.groupBy("id", "t").agg(F.sort_array(F.collect_set(F.struct("start", "g", "later"))).alias("w")))
+
+
+def _extended(alive: DataFrame, length: int) -> DataFrame:
+    """(g, id, t, start): windows of twice the length, of which both halves
+    are alive."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            windows = batch.column("w")
+            start, g = (windows.flatten().field(c).to_numpy() for c in ("start", "g"))
+            sizes = np.asarray(windows.value_lengths())
+            text = np.repeat(np.arange(len(sizes)), sizes)
+            # places of a text are far from those of another
+            place = text.astype(np.int64) << 32 | start
+            later = np.searchsorted(place, place + length)
+            first = np.flatnonzero(np.append(place, -1)[later] == place + length)
+            with np.errstate(over="ignore"):
+                left, right = g[first].view(np.uint64), g[later[first]].view(np.uint64)
+                x = (left ^ (left >> np.uint64(32))) * np.uint64(_B) + right * np.uint64(0xD6E8FEB86659FD93)
+            both = (x ^ (x >> np.uint64(32))).view(np.int64)
+            columns = [pa.array(both), *(batch.column(c).take(pa.array(text[first])) for c in ("id", "t")), pa.array(start[first])]
+            yield pa.RecordBatch.from_arrays(columns, names=["g", "id", "t", "start"])
+
+    return alive.select("id", "t", "w").mapInArrow(run, "g bigint, id bigint, t int, start int")
+
+
 def repeated_windows(docs: DataFrame, min_words: int = 50, broadcast_limit: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, t, begins, ends): for each text the stretches of words that are
-    covered by windows which also start in a document with a smaller doc_id;
-    null for a text that is a whole copy."""
+    """(id, t, begins, ends, longest): for each text the stretches of words
+    that are covered by windows which also start in a document with a smaller
+    doc_id, and the longest of ``min_words`` times 1, 2, 4 ... words that such
+    a window has; stretches are null for a text that is a whole copy."""
+    ship(docs.sparkSession)
     keyed = docs.select(*_keys(id_col, text_col))
     packed = durable(_halves(keyed, min_words))
     firsts = packed.groupBy("seq").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
@@ -153,50 +196,67 @@ def repeated_windows(docs: DataFrame, min_words: int = 50, broadcast_limit: int
     halves = _unpacked(own)
     shared = durable(halves.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h"))
     places = durable(halves.join(shared, "h", "left_semi").groupBy("id", "t").agg(F.collect_set("place").alias("places")))
+    del packed, firsts, own, halves, shared
+    release(docs.sparkSession)
     size = places.agg(F.sum(F.size("places") * 4 + 24)).first()[0] or 0
     texts = keyed.join(F.broadcast(places) if size <= broadcast_limit else places, ["id", "t"]).select("id", "t", "text", "places")
     # one plan has both readings of the texts, so that a shuffle of them is used twice
     twice = _candidates(texts, min_words, True).groupBy("g").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("g", "lo")
-    # dealt anew, so that the join's two sides are shuffles that can be split where a passage is frequent
-    hits = _candidates(texts, min_words, False).join(twice.repartition("g", "lo"), "g").where("id > lo")
-    starts = hits.groupBy("id", "t").agg(F.sort_array(F.collect_set("start")).alias("s"))
+    repeated = _packed(_repeated(_candidates(texts, min_words, False), twice))
+    levels, length, alive = [], min_words, repeated
+    while not alive.isEmpty():
+        levels.append(alive.where(F.exists("w", lambda x: x["later"])).select("id", "t", F.lit(length).alias("longest")))
+        longer = _extended(alive, length)
+        twice = longer.groupBy("g").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("g", "lo")
+        length, alive = 2 * length, _packed(_repeated(longer, twice))
+        del longer, twice
+        release(docs.sparkSession)
+    starts = repeated.select("id", "t", F.transform(F.filter("w", lambda x: x["later"]), lambda x: x["start"]).alias("s")).where(F.size("s") > 0)
     far = lambda x, y: x > y + min_words
     begins = F.filter("s", lambda x, i: (i == 0) | far(x, F.get("s", i - 1)))
     ends = F.filter("s", lambda x, i: (i == F.size("s") - 1) | far(F.get("s", i + 1), x))
     stretches = starts.select("id", "t", begins.alias("begins"), F.transform(ends, lambda x: x + min_words).alias("ends"))
+    if levels:
+        longest = reduce(DataFrame.unionAll, levels).groupBy("id", "t").agg(F.max("longest").alias("longest"))
+        stretches = stretches.join(longest, ["id", "t"])
+    else:
+        stretches = stretches.withColumn("longest", F.lit(0))
     none = F.lit(None).cast("array<int>")
-    return stretches.unionByName(copies.withColumns({"begins": none, "ends": none})).withColumn("hit", F.lit(True))
+    return stretches.unionByName(copies.withColumns({"begins": none, "ends": none, "longest": F.lit(0)})).withColumn("hit", F.lit(True))
 
 
 def dedup_substrings(docs: DataFrame, min_words: int = 50, broadcast_limit: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` but the text, then kept_text, n_words and
-    n_removed (long); columns of ``docs`` with those names go.
+    """All columns of ``docs`` but the text, then kept_text, n_words, n_removed
+    and longest (long); columns of ``docs`` with those names go.
 
     Each word is removed that a window of ``min_words`` words covers whose
     word sequence also starts in a document with a smaller doc_id. Words are
     runs of characters other than ASCII white space. kept_text is the text's
     kept words joined by one space, empty for a null or blank text. Rows that
     share a doc_id never remove from each other; a null doc_id is smallest.
-    An empty table gives no rows."""
+    longest: the longest window found of ``min_words`` times 1, 2, 4 ... words
+    that also starts in a smaller doc_id, 0 if there is none. An empty table gives no rows."""
     found = durable(repeated_windows(docs, min_words, broadcast_limit, id_col, text_col))
     size = found.agg(F.sum(F.coalesce(F.size("begins"), F.lit(0)) * 8 + 24)).first()[0] or 0
-    rest = [c for c in docs.columns if c not in (text_col, "kept_text", "n_words", "n_removed")]
+    rest = [c for c in docs.columns if c not in (text_col, "kept_text", "n_words", "n_removed", "longest")]
     source = docs.select(F.struct(*rest).alias("doc"), *_keys(id_col, text_col))
-    both = source.join(F.broadcast(found) if size <= broadcast_limit else found, ["id", "t"], "left").select("doc", "text", "begins", "ends", "hit")
+    both = source.join(F.broadcast(found) if size <= broadcast_limit else found, ["id", "t"], "left").select("doc", "text", "begins", "ends", "longest", "hit")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 16 << 20):
-            kept, total, removed = [], [], []
-            for text, begins, ends, hit in zip(*(batch.column(c).to_pylist() for c in ("text", "begins", "ends", "hit"))):
+            kept, total, removed, longest = [], [], [], []
+            for text, begins, ends, level, hit in zip(*(batch.column(c).to_pylist() for c in ("text", "begins", "ends", "longest", "hit"))):
                 words = text.split() if text else []
                 total.append(len(words))
+                longest.append(level or 0)
                 if hit and begins is None:
+                    longest[-1] = min_words << (len(words) // min_words).bit_length() - 1
                     words = []
                 elif hit:
                     words = list(chain.from_iterable(words[a:b] for a, b in zip([0, *ends], [*begins, len(words)])))
                 kept.append(b" ".join(words))
                 removed.append(total[-1] - len(words))
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(kept, pa.binary()), pa.array(total, pa.int64()), pa.array(removed, pa.int64())], names=["doc", "kept", "n_words", "n_removed"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(kept, pa.binary()), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(longest, pa.int64())], names=["doc", "kept", "n_words", "n_removed", "longest"])
 
-    out = both.mapInArrow(run, f"doc {source.schema['doc'].dataType.simpleString()}, kept binary, n_words bigint, n_removed bigint")
-    return out.select(*[F.col("doc").getField(c).alias(c) for c in rest], F.col("kept").cast("string").alias("kept_text"), "n_words", "n_removed")
+    out = both.mapInArrow(run, f"doc {source.schema['doc'].dataType.simpleString()}, kept binary, n_words bigint, n_removed bigint, longest bigint")
+    return out.select(*[F.col("doc").getField(c).alias(c) for c in rest], F.col("kept").cast("string").alias("kept_text"), "n_words", "n_removed", "longest")

@@ -260,6 +260,19 @@ def test_sharding_splits_a_hot_group(spark):
     assert sum(a != b for a, b in zip(order, order[1:])) <= 2
 
 
+@pytest.mark.parametrize("ids", [[None] * 3000, [7] * 3000])
+def test_sharding_splits_repeated_rows(spark, ids):
+    rows = [(i, "one text of all") for i in ids] + [(i, f"text {i}") for i in range(1000)]
+    got = rows_of(sharding.shard_by_bytes(spark.createDataFrame(rows, "doc_id long, text string"), shards=10))
+    sizes, slots = Counter(), defaultdict(list)
+    for r in got:
+        sizes[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+    mean = sum(sizes.values()) / 10
+    assert len(got) == 4000 and len(sizes) == 10 and max(abs(x - mean) for x in sizes.values()) <= 0.02 * mean + 31
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
 def test_exact(docs, pairs):
     groups = defaultdict(list)
     for i, t in pairs:
@@ -565,6 +578,23 @@ def test_substrings(docs, pairs, limit):
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], brute.sha(r["kept_text"].encode())) for r in got} == brute.substrings(pairs)
 
 
+def longest_levels(docs, size):
+    """By windows of every length size, 2 size, ..., all compared."""
+    out, length = {i: 0 for i, _ in docs}, size
+    while length <= max(len(brute.words(t)) for _, t in docs):
+        first = {}
+        for i, t in docs:
+            w = brute.words(t)
+            for a in range(len(w) - length + 1):
+                first.setdefault(tuple(w[a : a + length]), i)
+        for i, t in docs:
+            w = brute.words(t)
+            if any(first[tuple(w[a : a + length])] < i for a in range(len(w) - length + 1)):
+                out[i] = length
+        length *= 2
+    return out
+
+
 def test_substrings_of_planted_passages(spark):
     rng = random.Random(5)
     text = lambda n: [f"t{rng.randrange(10**6)}" for _ in range(n)]
@@ -578,6 +608,7 @@ def test_substrings_of_planted_passages(spark):
     for size in (50, 7, 2):
         got = rows_of(substring_dedup.dedup_substrings(spark.createDataFrame(docs, "doc_id long, text string"), size))
         assert {r["doc_id"]: (r["n_words"], r["n_removed"], brute.sha(r["kept_text"].encode())) for r in got} == brute.substrings(docs, size)
+        assert {r["doc_id"]: r["longest"] for r in got} == longest_levels(docs, size)
 
 
 def test_warc(spark, sf, tmp_path):
@@ -599,6 +630,7 @@ def test_warc(spark, sf, tmp_path):
         assert (r["payload_bytes"], r["payload_digest"]) == (len(data), base64.b32encode(hashlib.sha1(data).digest()).decode())
         assert (r["record_type"], r["refers_to"]) == (("response", None) if i == first else ("revisit", first))
         assert r["payload"] == (data if i == first else None)
+    assert warc.read_records(index, stretch=5000, task_bytes=20_000).rdd.getNumPartitions() > 4
     one = rows_of(warc.read_records(index.where("page_id = 3")))
     assert [r["page_id"] for r in one] == [3]
     for path in list((tmp_path / "warc").iterdir())[:3]:
