@@ -158,8 +158,12 @@ class Vocabulary(dict):
     ``most`` of them: when half as many are new, those not asked for since the
     last time go."""
 
-    def __init__(self, ranks: dict[bytes, int], most: int = 200_000) -> None:
+    def __init__(self, ranks: dict[bytes, int], most: int = 300_000) -> None:
         self.ranks, self.most, self.old = ranks, most, {}
+        self.single = [ranks[bytes([i])] for i in range(256)]
+        # what two tokens make, by both their ids: a rank is an id
+        halves = ((ranks.get(x[:k]), ranks.get(x[k:]), i) for x, i in ranks.items() for k in range(1, len(x)))
+        self.pairs = {a << 32 | b: i for a, b, i in halves if a is not None and b is not None}
 
     def __missing__(self, piece: bytes) -> tuple[int, ...]:
         out = self.old.get(piece)
@@ -185,18 +189,18 @@ class Vocabulary(dict):
         return self._merge_short(piece) if len(piece) <= 128 else self._merge_long(piece)
 
     def _merge_short(self, piece: bytes) -> tuple[int, ...]:
-        get, none = self.ranks.get, 1 << 62
-        parts = [piece[i : i + 1] for i in range(len(piece))]
-        pairs = [get(piece[i : i + 2], none) for i in range(len(piece) - 1)]
+        get, none = self.pairs.get, 1 << 62
+        ids = list(map(self.single.__getitem__, piece))
+        pairs = [get(a << 32 | b, none) for a, b in zip(ids, ids[1:])]
         while pairs and (best := min(pairs)) < none:
             i = pairs.index(best)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            ids[i : i + 2] = [best]
             del pairs[i]
             if i < len(pairs):
-                pairs[i] = get(parts[i] + parts[i + 1], none)
+                pairs[i] = get(best << 32 | ids[i + 1], none)
             if i:
-                pairs[i - 1] = get(parts[i - 1] + parts[i], none)
-        return tuple(map(self.ranks.__getitem__, parts))
+                pairs[i - 1] = get(ids[i - 1] << 32 | best, none)
+        return tuple(ids)
 
     def _merge_long(self, piece: bytes) -> tuple[int, ...]:
         ranks = self.ranks
