@@ -36,11 +36,15 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it. A session
-    without one (a test on one machine) gets a temporary folder."""
+    """The folder all executors share, as the session names it. A session on
+    one machine without one (a test) gets a temporary folder; a cluster does
+    not, since its executors would not see the driver's."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="logwright-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="logwright-"))
     return sc.getCheckpointDir()
 
 
