@@ -49,6 +49,21 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """``df`` computed now and written as Parquet to a folder that all
+    executors share, where ``discard`` can delete it."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete what ``stored`` wrote, and the shuffle files behind it."""
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    release(spark)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that ``column`` holds at most ``most_bytes`` in each,
     or a single row."""

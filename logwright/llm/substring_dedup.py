@@ -19,6 +19,7 @@ only behind a check of their size; beyond it joins are shuffled.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 from itertools import chain
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logwright.llm.common import checked_broadcast, durable, raw, release, ship, slices
+from logwright.llm.common import checked_broadcast, discard, durable, raw, shared_dir, ship, slices, stored
 
 _B = 0x9E3779B97F4A7C15
 _NULL_ID = -(1 << 63)
@@ -154,8 +155,8 @@ def _repeated(windows: DataFrame, twice: DataFrame) -> DataFrame:
 
 
 def _packed(windows: DataFrame) -> DataFrame:
-    """(id, t, w): the windows of each text, by start; kept."""
-    return durable(windows.groupBy("id", "t").agg(F.sort_array(F.collect_set(F.struct("start", "g", "later"))).alias("w")))
+    """(id, t, w): the windows of each text, by start."""
+    return windows.groupBy("id", "t").agg(F.sort_array(F.collect_set(F.struct("start", "g", "later"))).alias("w"))
 
 
 def _extended(alive: DataFrame, length: int) -> DataFrame:
@@ -187,30 +188,35 @@ def repeated_windows(docs: DataFrame, min_words: int = 50, broadcast_limit: int
     that are covered by windows which also start in a document with a smaller
     doc_id, and the longest of ``min_words`` times 1, 2, 4 ... words that such
     a window has; stretches are null for a text that is a whole copy."""
-    ship(docs.sparkSession)
+    spark = ship(docs.sparkSession)
+    folder = f"{shared_dir(spark)}/windows-{uuid.uuid4().hex}"
     keyed = docs.select(*_keys(id_col, text_col))
-    packed = durable(_halves(keyed, min_words))
+    packed = stored(_halves(keyed, min_words), f"{folder}/packed")
     firsts = packed.groupBy("seq").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
-    copies = durable(packed.select("id", "t", "seq").join(firsts, "seq").where("id > first").select("id", "t").distinct())
+    copies = stored(packed.select("id", "t", "seq").join(firsts, "seq").where("id > first").select("id", "t").distinct(), f"{folder}/copies")
     own = packed.join(checked_broadcast(copies, 16, broadcast_limit), ["id", "t"], "left_anti")
     halves = _unpacked(own)
-    shared = durable(halves.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h"))
-    places = durable(halves.join(shared, "h", "left_semi").groupBy("id", "t").agg(F.collect_set("place").alias("places")))
+    shared = stored(halves.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h"), f"{folder}/shared")
+    places = stored(halves.join(shared, "h", "left_semi").groupBy("id", "t").agg(F.collect_set("place").alias("places")), f"{folder}/places")
     del packed, firsts, own, halves, shared
-    release(docs.sparkSession)
+    discard(spark, f"{folder}/packed", f"{folder}/shared")
     size = places.agg(F.sum(F.size("places") * 4 + 24)).first()[0] or 0
     texts = keyed.join(F.broadcast(places) if size <= broadcast_limit else places, ["id", "t"]).select("id", "t", "text", "places")
     # one plan has both readings of the texts, so that a shuffle of them is used twice
     twice = _candidates(texts, min_words, True).groupBy("g").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("g", "lo")
-    repeated = _packed(_repeated(_candidates(texts, min_words, False), twice))
+    repeated = stored(_packed(_repeated(_candidates(texts, min_words, False), twice)), f"{folder}/{min_words}")
+    del places, texts, twice
+    discard(spark, f"{folder}/places")
+    # a level's windows go when the next has them; which texts had any of them stays
     levels, length, alive = [], min_words, repeated
     while not alive.isEmpty():
-        levels.append(alive.where(F.exists("w", lambda x: x["later"])).select("id", "t", F.lit(length).alias("longest")))
+        levels.append(stored(alive.where(F.exists("w", lambda x: x["later"])).select("id", "t", F.lit(length).alias("longest")), f"{folder}/longest-{length}"))
         longer = _extended(alive, length)
         twice = longer.groupBy("g").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("g", "lo")
-        length, alive = 2 * length, _packed(_repeated(longer, twice))
+        alive = stored(_packed(_repeated(longer, twice)), f"{folder}/{2 * length}")
         del longer, twice
-        release(docs.sparkSession)
+        discard(spark, *[f"{folder}/{length}"] * (length > min_words))
+        length *= 2
     starts = repeated.select("id", "t", F.transform(F.filter("w", lambda x: x["later"]), lambda x: x["start"]).alias("s")).where(F.size("s") > 0)
     far = lambda x, y: x > y + min_words
     begins = F.filter("s", lambda x, i: (i == 0) | far(x, F.get("s", i - 1)))
@@ -222,7 +228,10 @@ def repeated_windows(docs: DataFrame, min_words: int = 50, broadcast_limit: int
     else:
         stretches = stretches.withColumn("longest", F.lit(0))
     none = F.lit(None).cast("array<int>")
-    return stretches.unionByName(copies.withColumns({"begins": none, "ends": none, "longest": F.lit(0)})).withColumn("hit", F.lit(True))
+    found = durable(stretches.unionByName(copies.withColumns({"begins": none, "ends": none, "longest": F.lit(0)})).withColumn("hit", F.lit(True)))
+    del alive, repeated, copies, levels, starts, stretches
+    discard(spark, folder)
+    return found
 
 
 def dedup_substrings(docs: DataFrame, min_words: int = 50, broadcast_limit: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -236,7 +245,7 @@ def dedup_substrings(docs: DataFrame, min_words: int = 50, broadcast_limit: int
     share a doc_id never remove from each other; a null doc_id is smallest.
     longest: the longest window found of ``min_words`` times 1, 2, 4 ... words
     that also starts in a smaller doc_id, 0 if there is none. An empty table gives no rows."""
-    found = durable(repeated_windows(docs, min_words, broadcast_limit, id_col, text_col))
+    found = repeated_windows(docs, min_words, broadcast_limit, id_col, text_col)
     size = found.agg(F.sum(F.coalesce(F.size("begins"), F.lit(0)) * 8 + 24)).first()[0] or 0
     rest = [c for c in docs.columns if c not in (text_col, "kept_text", "n_words", "n_removed", "longest")]
     source = docs.select(F.struct(*rest).alias("doc"), *_keys(id_col, text_col))
